@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Set a checkpoint folder if the cluster names none, and keep Arrow batches of long texts small."""
+    """Set a checkpoint folder if the cluster names none, let workers find this package, and keep
+    Arrow batches of long texts small."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

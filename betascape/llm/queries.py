@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from betascape.llm import best_fit_packing, bpe, online_packing, quality_rules, simhash_dedup
+from betascape.llm import (
+    best_fit_packing, bpe, chat_perspectives, compact_windows, contextual_pii, factorisation_quality, nn_descent,
+    online_packing, quality_rules, simhash_dedup,
+)
 from betascape.llm.common import ready, table
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(ready(spark), sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(ready(spark), sf_dir, "documents"))
 
@@ -21,6 +29,18 @@ def op3_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
+def op4_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_perspectives.perspectives(table(spark, sf_dir, "conversations"))
+
+
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contextual_pii.find(table(ready(spark), sf_dir, "documents"))
+
+
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.near_duplicate_passages(table(ready(spark), sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), "corpus")
     base = rows.failed_bits.bitwiseAND(quality_rules.policy_mask("base")) != 0
@@ -37,20 +57,31 @@ def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return online_packing.pack(table(ready(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ready(spark), sf_dir, "documents")
+    return factorisation_quality.score(docs, factorisation_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_nn_descent,
         op2_simhash_near_dedup,
         op3_byte_level_bpe,
+        op4_chat_perspectives,
+        op5_contextual_pii,
+        op6_compact_windows,
         op7_quality_rules,
         op8_best_fit_packing,
         op9_online_packing,
+        op10_factorisation_quality,
     )
 }
 
 SPACE = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_chat_perspectives": chat_perspectives.ORACLE_SQL,
     "op7_quality_rules": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{SPACE}+'), lambda x: x <> '') AS w,

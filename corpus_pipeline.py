@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from betascape.llm import online_packing, quality_rules, simhash_dedup
+from betascape.llm import compact_windows, contextual_pii, online_packing, quality_rules, simhash_dedup
 from betascape.llm.common import cut, ready
 
 #: The columns of documents, which every stage but the last returns.
@@ -31,6 +31,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").select(*COLUMNS)
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that an earlier document has; n_chars follows the text."""
+    return counted(compact_windows.remove(docs.select(*COLUMNS)))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced by the names of its kinds; n_chars follows the text."""
+    return counted(contextual_pii.redact(docs.select(*COLUMNS)))
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into windows of 2,048 ids."""
     return online_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -39,6 +53,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
     ("simhash_near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("contextual_pii", pii),
     ("online_packing", packing),
 ]
 
