@@ -17,11 +17,12 @@ def num(x: float | Column) -> Column:
 def ispline(v: Column, q1: float, q2: float, q3: float) -> Column:
     """Quadratic I-spline: 0 up to q1, 1 from q3, and two parabolas that meet at q2."""
     v = v.cast("double")
-    rise, fall = (q2 - q1) * (q3 - q1), (q3 - q2) * (q3 - q1)
     out = F.when(v <= q1, 0.0).when(v >= q3, 1.0)
-    if rise:
-        out = out.when(v < q2, (v - q1) * (v - q1) / rise)
-    return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(out.otherwise(1 - (q3 - v) * (q3 - v) / fall) if fall else out)
+    if q2 > q1:
+        out = out.when(v < q2, (v - q1) / (q2 - q1) * ((v - q1) / (q3 - q1)))
+    if q3 > q2:
+        out = out.otherwise(1 - (q3 - v) / (q3 - q2) * ((q3 - v) / (q3 - q1)))
+    return F.when(v.isNull(), F.lit(None).cast("double")).otherwise(out)
 
 
 def spline_knots(knots: Sequence[float]) -> list[tuple[float, float, float]]:
@@ -46,7 +47,7 @@ def ispline_value(v: float, q1: float, q2: float, q3: float) -> float:
         return 0.0
     if v >= q3:
         return 1.0
-    return (v - q1) ** 2 / ((q2 - q1) * (q3 - q1)) if v < q2 else 1 - (q3 - v) ** 2 / ((q3 - q2) * (q3 - q1))
+    return (v - q1) / (q2 - q1) * ((v - q1) / (q3 - q1)) if v < q2 else 1 - (q3 - v) / (q3 - q2) * ((q3 - v) / (q3 - q1))
 
 
 def spline_value(v: float, knots: Sequence[float], coefs: Sequence[float]) -> float:
