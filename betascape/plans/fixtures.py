@@ -107,9 +107,10 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ispline_sql(v: str, q1: float, q2: float, q3: float) -> str:
-    rise, fall = (q2 - q1) * (q3 - q1), (q3 - q2) * (q3 - q1)
-    up = f"WHEN {v} < {q2} THEN ({v} - {q1}) * ({v} - {q1}) / {rise}::DOUBLE " if rise else ""
-    down = f"1 - ({q3} - {v}) * ({q3} - {v}) / {fall}::DOUBLE" if fall else "NULL"
+    part = lambda top, width: f"{top} / {width!r}::DOUBLE"
+    rise, fall = f"({v} - {q1}::DOUBLE)", f"({q3}::DOUBLE - {v})"
+    up = f"WHEN {v} < {q2} THEN {part(rise, q2 - q1)} * ({part(rise, q3 - q1)}) " if q2 > q1 else ""
+    down = f"1 - {part(fall, q3 - q2)} * ({part(fall, q3 - q1)})" if q3 > q2 else "NULL"
     return f"(CASE WHEN {v} IS NULL THEN NULL WHEN {v} <= {q1} THEN 0.0::DOUBLE WHEN {v} >= {q3} THEN 1.0::DOUBLE {up}ELSE {down} END)"
 
 

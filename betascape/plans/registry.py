@@ -502,27 +502,27 @@ def transform_sql(method: str) -> str:
     for p, ks, cs in zip(GRID_MODEL.predictors, GRID_MODEL.knots, GRID_MODEL.coefficients, strict=True):
         lo, hi = sql_lines(ks, cs, method)
         v = f"CASE WHEN {p} < {ks[0]} THEN {p} * {lo[0]!r}::DOUBLE + {lo[1]!r}::DOUBLE WHEN {p} > {ks[-1]} THEN {p} * {hi[0]!r}::DOUBLE + {hi[1]!r}::DOUBLE ELSE {spline_sql(p, ks, cs)} END"
-        out.append(f"round({v}, 6) AS {p}")
+        out.append(f"round({v}, 9) AS {p}")
     return f"WITH {GRID} SELECT row, col, {', '.join(out)} FROM grid"
 
 
 def sql_lines(ks: list[float], cs: list[float], method: str):
-    """The lines by numpy on the basis' closed form, apart from the operator's."""
+    """Slopes and constants for the SQL, in the same arithmetic, since results are compared as rounded."""
 
     def f(v: float) -> float:
         total = 0.0
         for (a, b, c), w in zip(triples(ks), cs, strict=True):
-            total += w * (0.0 if v <= a else 1.0 if v >= c else (v - a) ** 2 / ((b - a) * (c - a)) if v < b else 1 - (c - v) ** 2 / ((c - b) * (c - a)))
+            total += w * (0.0 if v <= a else 1.0 if v >= c else (v - a) / (b - a) * ((v - a) / (c - a)) if v < b else 1 - (c - v) / (c - b) * ((c - v) / (c - a)))
         return total
 
     a, z = ks[0], ks[-1]
     if method == "Clamped":
         return (0.0, 0.0), (0.0, sum(cs))
-    full = np.polyfit([a, z], [f(a), f(z)], 1)
-    u, w = z - (z - a) / 10, a + (z - a) / 100
-    m1, m0 = (f(z) - f(u)) / (z - u), (f(w) - f(a)) / (w - a)
+    tenth = (z - a) / 10
+    m1, m0 = (f(z) - f(z - tenth)) / tenth, (f(a + tenth / 10) - f(a)) / (tenth / 10)
     top, low = (m1, f(z) - z * m1), (m0, f(a) - a * m0)
-    whole = tuple(map(float, full))
+    m = (f(z) - f(a)) / (z - a)
+    whole = (m, f(a) - a * m)
     if method == "WholeGrad":
         return whole, whole
     if method == "End10":
@@ -534,7 +534,7 @@ def sql_lines(ks: list[float], cs: list[float], method: str):
 
 def _transform(method: str):
     def run(spark, sf):
-        return rounded(grids.transform_grids(grid(spark, sf), GRID_MODEL, method), *GRID_MODEL.predictors)
+        return rounded(grids.transform_grids(grid(spark, sf), GRID_MODEL, method), *GRID_MODEL.predictors, digits=9)
 
     run.__name__ = f"grid_transform_{method.lower()}"
     return query(transform_sql(method))(run)
@@ -599,7 +599,7 @@ def epochs(spark, sf):
     return first, second
 
 
-EPOCHS = transform_sql("Clamped").replace("round(", "(").replace(", 6)", ")")
+EPOCHS = transform_sql("Clamped").replace("round(", "(").replace(", 9)", ")")
 EPOCH = f"e0 AS ({EPOCHS}), e1 AS (SELECT row, col, balance + 0.1::DOUBLE * (col % 7) AS balance, nation + 0.05::DOUBLE * (row % 3) AS nation FROM e0)"
 
 
