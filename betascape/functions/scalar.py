@@ -185,5 +185,18 @@ def albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     a, e2, e, n, c, rho0 = _albers_constants()
     s = F.sin(F.radians(lat))
     q = (1 - e2) * (s / (1 - e2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    rho, theta = F.sqrt(c - n * q) * a / n, F.radians(lon - ALBERS[3]) * n
+    rho, theta = F.sqrt(c - n * q) * (a / n), F.radians(lon - ALBERS[3]) * n
     return rho * F.sin(theta), F.lit(rho0) - rho * F.cos(theta)
+
+
+def albers_inverse(x: Column, y: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a projected point, by the series from authalic to geographic latitude."""
+    a, e2, e, n, c, rho0 = _albers_constants()
+    up = F.lit(rho0) - y
+    rho, theta = F.sqrt(x * x + up * up), F.atan2(x, up) if n > 0 else F.atan2(-x, -up)
+    q = (c - (rho * n / a) * (rho * n / a)) / n
+    pole = 1 - (1 - e2) / (2 * e) * math.log((1 - e) / (1 + e))
+    b = F.asin(q / pole)
+    e4, e6 = e2 * e2, e2**3
+    lat = b + (e2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * b) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * b) + 761 * e6 / 45360 * F.sin(6 * b)
+    return F.degrees(theta / n) + ALBERS[3], F.degrees(lat)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from betascape.functions.scalar import manhattan, spline_sum, spline_value
+from betascape.functions.scalar import albers, albers_inverse, manhattan, spline_sum, spline_value
 from betascape.operators.model import Model
 from betascape.sources.grid import Header
 
@@ -306,3 +306,24 @@ def pca_rgb(cells: DataFrame, layers: Sequence[str], sample: int = 200_000, seed
     ends = out.agg(*[f(c).alias(f"{k}_{c}") for c in names for k, f in (("lo", F.min), ("hi", F.max))])
     scale = lambda c: F.when(F.col(f"hi_{c}") > F.col(f"lo_{c}"), (F.col(c) - F.col(f"lo_{c}")) / (F.col(f"hi_{c}") - F.col(f"lo_{c}")) * 255).otherwise(0.0)
     return out.join(F.broadcast(ends)).select("row", "col", *[scale(c).alias(c) for c in names])
+
+
+def projected_extent(spark, h: Header) -> tuple[float, float, float, float]:
+    """(xmin, xmax, ymin, ymax) of a geographic grid's edge, projected."""
+    edge = centroids(spark, h).where((F.col("row") == 0) | (F.col("row") == h.nrows - 1) | (F.col("col") == 0) | (F.col("col") == h.ncols - 1))
+    x, y = albers(F.col("x"), F.col("y"))
+    e = edge.select(x.alias("px"), y.alias("py")).agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    return tuple(e)
+
+
+def reproject(cells: DataFrame, source: Header, target: Header, layers: Sequence[str]) -> DataFrame:
+    """Layers of a geographic grid on a projected one: each target cell takes the source cell at its centre."""
+    lon, lat = albers_inverse(F.col("x"), F.col("y"))
+    points = centroids(cells.sparkSession, target).select(F.col("row").alias("__r"), F.col("col").alias("__c"), lon.alias("lon"), lat.alias("lat"))
+    found = extract(points, cells, source, layers, "lon", "lat")
+    return found.select(F.col("__r").alias("row"), F.col("__c").alias("col"), *layers)
+
+
+def transform_points(points: DataFrame, cells: DataFrame, h: Header, model: Model, method: str = "Conservative") -> DataFrame:
+    """Transformed layers at points, for training tables: all columns of the points and one per predictor."""
+    return extract(points, transform_grids(cells, model, method, h), h, [p for p, c in zip(model.predictors, model.coefficients[model.geo :], strict=True) if any(c)])

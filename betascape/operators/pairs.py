@@ -320,3 +320,18 @@ def parameter_grid(spark, **values: Sequence) -> DataFrame:
         one = spark.createDataFrame([(x,) for x in v], [name])
         out = one if out is None else out.crossJoin(one)
     return out.distinct()
+
+
+def composite_table(comp: DataFrame, sites: DataFrame, least_richness: int = 1, weights: str = "one") -> DataFrame:
+    """Composite pair table straight from (site, species): sites under the cut-point are left out first.
+
+    ``sites`` has site, xCoord and yCoord.
+    """
+    rich = with_richness(comp).where(F.col("richness") >= least_richness)
+    rows = all_pair_sorensen(comp.join(rich, "site", "left_semi")).withColumn("weights", pair_weight(F.col("r1"), F.col("r2"), weights))
+    return attach(rows, sites, ("xCoord", "yCoord")).select("i", "j", "distance", "weights", "s1_xCoord", "s1_yCoord", "s2_xCoord", "s2_yCoord")
+
+
+def reaggregate(comp: DataFrame, cell: Column) -> DataFrame:
+    """A composition by cells instead of sites: ``cell`` gives the cell key of a row."""
+    return comp.select(cell.alias("site"), "species").dropna().distinct()

@@ -196,3 +196,28 @@ def test_whole_build(spark):
     comp = [(s, k) for s, a in env.items() for k in range(40) if abs(k / 40 - a) < 0.3 + 0.1 * rng.uniform()]
     b = select.build(sites, spark.createDataFrame(comp, "site long, species long"), ["a", "c"], folds=2, n_pairs=300)
     assert b.model.predictors[0] == "a" and len(b.models) == 2 and b.tests.test_d2.mean() > 30
+
+
+def test_projection_round_trip_and_reprojection(spark):
+    from betascape.functions import scalar as fn
+
+    at = spark.createDataFrame([(115.0, -40.0), (132.0, 0.0), (153.5, -10.25)], "lon double, lat double")
+    x, y = fn.albers(F.col("lon"), F.col("lat"))
+    lon, lat = fn.albers_inverse(F.col("px"), F.col("py"))
+    rows = at.withColumn("px", x).withColumn("py", y).withColumn("a", lon).withColumn("b", lat).collect()
+    assert all(abs(r.a - r.lon) < 1e-7 and abs(r.b - r.lat) < 1e-6 for r in rows)
+    assert abs(rows[1].px) < 1e-6 and abs(rows[1].py) < 1e-6
+    h = g.Header(6, 4, 130.0, -30.0, 1.0)
+    cells = grids.centroids(spark, h).withColumn("v", F.col("row") * 10.0 + F.col("col"))
+    e = grids.projected_extent(spark, h)
+    t = g.Header(5, 3, e[0], e[2], (e[1] - e[0]) / 5)
+    out = grids.reproject(cells, h, t, ["v"])
+    assert out.count() == 15 and out.where("v IS NOT NULL").count() > 5
+
+
+def test_composites(spark):
+    comp = spark.createDataFrame([(1, 1), (1, 2), (2, 2), (2, 3), (3, 9)], "site long, species long")
+    sites = spark.createDataFrame([(k, float(k), 0.0) for k in (1, 2, 3)], "site long, xCoord double, yCoord double")
+    rows = pairs.composite_table(comp, sites, 2, "sqrt").collect()
+    assert [(r.i, r.j, r.distance, r.weights, r.s2_xCoord) for r in rows] == [(1, 2, 0.5, 2.0, 2.0)]
+    assert pairs.reaggregate(comp, F.floor(F.col("site") / 2)).count() == 5
