@@ -274,8 +274,14 @@ def crosstab(classes: DataFrame, regions: DataFrame, names: Sequence | None = No
     return joined.groupBy("class").agg(*[F.count_if(F.col("region") == n).alias(f"r_{n}") for n in names])
 
 
-def site_by_species(comp: DataFrame, species: Sequence, abundance: str | None = None) -> DataFrame:
-    """Wide presence (or summed abundance) of the named species, one row a site."""
+def site_by_species(comp: DataFrame, species: Sequence | None = None, abundance: str | None = None) -> DataFrame:
+    """Presence (or summed abundance) of all species, one row a site: a map that leaves out absent species.
+
+    With a list of species, a wide table of these only, with zeros.
+    """
+    if species is None:
+        held = comp.where("species IS NOT NULL").groupBy("site", "species").agg((F.sum(abundance).cast("double") if abundance else F.lit(1)).alias("v"))
+        return held.groupBy("site").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("species", "v")))).alias("species"))
     value = (lambda s: F.sum(F.when(F.col("species") == s, F.col(abundance)).otherwise(0))) if abundance else (lambda s: F.max((F.col("species") == s).cast("int")))
     return comp.groupBy("site").agg(*[value(s).alias(f"sp_{s}") for s in species])
 
