@@ -24,7 +24,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -47,16 +47,23 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return sum(1 << int(i) for i in np.flatnonzero(2 * total > n))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def digest_of(text_col: str = "text") -> Column:
+    """What tells rows of one id apart: a hash of the text; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, digest: bool = False) -> DataFrame:
+    """(doc_id, fp), and digest on demand: fp is the fingerprint as a signed long."""
+    more = ["digest"] if digest else []
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in batches(rows, "doc_id", "text"):
+        for ids, texts, *digests in batches(rows, "doc_id", "text", *more):
             fps = np.fromiter((fingerprint(t, width) for t in texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps), *map(pa.array, digests)], ["doc_id", "fp", *more])
 
     ready(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    cols = [F.col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text"), *[digest_of(text_col).alias(c) for c in more]]
+    return docs.select(*cols).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *more)))
 
 
 def pivots(n: int) -> np.ndarray:
@@ -138,6 +145,15 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, chu
     return dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q").mapInArrow(run, "u long, v long")
 
 
+def representatives(docs: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, digest): the least row of each component by doc_id, nulls last, then by the text's digest."""
+    rows = cut(fingerprints(docs, id_col, text_col, digest=True))
+    fps = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")))
+    roots = components(links(fps.select("fp"), bits, blocks, n_pivots))
+    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.digest")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of those
     reachable over links) and n_exact (documents with the same fingerprint)."""

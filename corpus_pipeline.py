@@ -22,13 +22,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least doc_id.
+    """One row of each SimHash component: the one with the least doc_id, nulls last, and of one id the least text digest.
 
-    Of repeated rows with one doc_id one stays; where all ids of a component are null, one row.
+    Rows are told apart by doc_id and text; of those that repeat both any one stays.
     """
-    found = simhash_dedup.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct().select(F.col("doc_id").alias("__keep"))
-    return docs.dropDuplicates(["doc_id"]).join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").select(*COLUMNS)
+    keep = simhash_dedup.representatives(docs.select("doc_id", "text")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"))
+    rows = docs.withColumn("__d", simhash_dedup.digest_of())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__d") == F.col("__digest"))
+    return rows.join(keep, same, "left_semi").dropDuplicates(["doc_id", "__d"]).select(*COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -115,3 +115,11 @@ def test_odd_documents(spark):
         assert now.count() >= 0
         for _, stage in cp.STAGES[1:-1]:  # without the filter before them
             assert stage(spark, rows, SMALL).count() == (2 if stage is cp.near_dedup and rows is docs else rows.count())
+
+
+def test_near_dedup_decides_per_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (1, text(4)), (None, text(5)), (None, text(1))]
+    docs = spark.createDataFrame([(i, x, "x", "y", len(x)) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in cp.near_dedup(spark, docs, SMALL).collect()), key=str)
+    assert got == sorted([(None, text(1)), (None, text(2)), (None, text(3)), (1, text(4)), (5, text(5))], key=str)
