@@ -20,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Set a checkpoint folder if the cluster names none, let workers find this package, and keep
-    Arrow batches of long texts small."""
+    """Let workers find this package, keep Arrow batches of long texts small, and set a checkpoint folder
+    if the session names none, which only a session on one machine may leave out."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     context.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     if context.getCheckpointDir() is None:
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return spark
 
 
