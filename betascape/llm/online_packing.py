@@ -2,10 +2,12 @@
 
 Each task packs the documents of its input partition in their order.  A document longer than a
 window fills whole windows; what remains is placed at once into the fill level whose choice gives
-the least sum of squared counts of partially filled windows, kept in a level array.  At the end of
-a partition the windows that are still open are poured together, cutting pieces, and the last rest
-goes into windows whose sizes are powers of two, which need no padding.  No row is shuffled, and a
-task that runs again gives the same windows.
+the least sum of squared counts of partially filled windows, kept in a level array.  What a window
+holds stays together: at the end of a partition the windows that are still open are put into each other whole, best
+fit first, and only then those that hold least are cut, to fill up the others; the last rest
+goes into windows whose sizes are powers of two.  So there is no padding at all, and what is cut
+or moved alone is small (see ``filled_up``).  No row is shuffled, and a task that runs again gives the
+same windows.
 
 Cases: a null or empty text is the end id alone; repeated rows are packed each for itself; an empty
 table gives no pieces; other columns are ignored; a null id stays null.
@@ -14,7 +16,7 @@ table gives no pieces; other columns are ignored; a null id stays null.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from betascape.llm.best_fit_packing import best_fit
 from betascape.llm.common import batches, ready, text_bytes
 from betascape.llm.word_ids import word_ids
 
@@ -81,17 +84,44 @@ def pack_partition(documents: Iterator[tuple[int | None, bytes]], capacity: int)
             if offset + size == capacity:
                 for d, start, part, n, at in held.pop(window):
                     yield d, start, len(part) // 4, zlib.crc32(part), n, window, at
-    rest = [p for w in sorted(held) for p in held[w]]
-    left = sum(len(p[2]) // 4 for p in rest)
-    window, size, at = -1, 0, 0
-    for doc, start, part, n, _ in rest:
-        while part:
-            if at == size:
-                size = capacity if left >= capacity else 1 << (left.bit_length() - 1)
-                window, at = levels.new(), 0
-            take = min(size - at, len(part) // 4)
-            yield doc, start, take, zlib.crc32(part[: 4 * take]), n, window, at
-            part, start, at, left = part[4 * take :], start + take, at + take, left - take
+    yield from filled_up([held[w] for w in sorted(held)], capacity, levels.new)
+
+
+def filled_up(open_: list[list[tuple]], capacity: int, new: Callable[[], int]) -> Iterator[tuple]:
+    """Pieces of the windows that were open at the end, each a list of (doc, start, ids, doc_tokens, offset).
+
+    Windows merge whole, best fit decreasing.  Of the merged ones the fullest stay as they are and get
+    the pieces of the least full, cut where they must be, until all but the last are full.
+    """
+    size = lambda parts: sum(len(p[2]) for p in parts) // 4
+    merged = [[p for k in w for p in open_[k]] for w in best_fit([size(x) for x in open_], capacity)]
+    merged.sort(key=lambda parts: -size(parts))
+    fill = [size(x) for x in merged]
+    i, j = 0, len(merged) - 1
+    while i < j:
+        if not fill[j]:
+            j -= 1
+        elif fill[i] == capacity:
+            i += 1
+        else:
+            doc, start, ids, n, at = merged[j].pop()
+            take = min(capacity - fill[i], len(ids) // 4)
+            merged[i].append((doc, start, ids[: 4 * take], n, at))
+            if 4 * take < len(ids):
+                merged[j].append((doc, start + take, ids[4 * take :], n, at))
+            fill[i] += take
+            fill[j] -= take
+    for parts in merged:
+        left = size(parts)
+        window, room, at = -1, 0, 0
+        for doc, start, ids, n, _ in parts:
+            while ids:
+                if at == room:
+                    room = capacity if left >= capacity else 1 << (left.bit_length() - 1)
+                    window, at = new(), 0
+                take = min(room - at, len(ids) // 4)
+                yield doc, start, take, zlib.crc32(ids[: 4 * take]), n, window, at
+                ids, start, at, left = ids[4 * take :], start + take, at + take, left - take
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

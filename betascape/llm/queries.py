@@ -48,9 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(ready(spark), sf_dir, "documents")
-    rows = best_fit_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), digest=True)
-    return rows.withColumnsRenamed({"ids": "ids_crc32", "positions": "positions_crc32"})
+    return best_fit_packing.pack(table(ready(spark), sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

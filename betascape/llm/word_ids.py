@@ -3,7 +3,8 @@
 A text's ids are those of its words, cut at ASCII white space, one after another; so each worker
 keeps the ids of words that it has met twice, as little-endian unsigned 32-bit numbers.  Words of
 Latin letters skip the library's full path: they are composed, lowered and split as the
-tokenizer's file says and go to its BPE model at once, which gives the same ids for less.
+tokenizer's file says and go to its BPE model at once, which gives the same ids for less.  Special
+tokens that a text spells out are recognised as the library does by default, and none are added.
 """
 
 from __future__ import annotations
@@ -36,16 +37,19 @@ class WordIds(dict):
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.split = regex.compile(SPLIT).findall
         self.letters = byte_letters()
         self.once: set[bytes] = set()
+        marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(m.split() != [m] for m in marks):
+            raise ValueError("added tokens must not hold white space")
+        self.spelled = regex.compile("|".join(map(regex.escape, marks)) or "(?!)").search
 
     def fresh(self, word: str) -> list[int]:
         if word.isascii() and word.isalpha():
             return [t.id for t in self.model.tokenize(word.lower())]
-        if max(word, default="") < "ƀ":
+        if max(word, default="") < "ƀ" and not self.spelled(word):
             pieces = self.split(unicodedata.normalize("NFC", word).lower())
             return [t.id for p in pieces for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.letters))]
         return self.tokenizer.encode(word, add_special_tokens=False).ids

@@ -9,7 +9,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from betascape.llm import best_fit_packing, bpe, online_packing
+from betascape.llm import best_fit_packing, bpe, online_packing, word_ids
 
 RANKS, WORDS = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -43,7 +43,6 @@ def test_long_pretokens_take_the_same_merges():
 
 def plain_ids(text):
     t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [1]
 
 
@@ -78,6 +77,35 @@ def test_online_packing_covers_every_id_once(request, table):
     assert padding <= 0.02 * sum(fill)
 
 
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "hello <|endoftext|> world", "<|startoftext|>", "x<|startoftext|><|endoftext|>é <|ENDOFTEXT|> <|end oftext|>", "É<|endoftext|>漢"])
+def test_spelled_marks_are_the_librarys(text):
+    words = word_ids.word_ids(WORDS)
+    for _ in range(3):
+        assert np.frombuffer(words.documents([text.encode()])[0], "<u4").tolist() == plain_ids(text)[:-1]
+
+
+def test_open_windows_stay_together():
+    """What the sum of squares placed is moved alone only to fill up windows."""
+    rng = np.random.default_rng(7)
+    docs = [(i, np.full(n, i, "<u4").tobytes()) for i, n in enumerate(rng.integers(1, 900, 1000).tolist())]
+    levels, together = online_packing.Levels(2048), {}
+    for i, ids in docs:
+        together.setdefault(levels.place(len(ids) // 4)[0], []).append(i)
+    window: dict = {}
+    pieces = list(online_packing.pack_partition(iter(docs), 2048))
+    for doc, _, n, _, _, w, _ in pieces:
+        window.setdefault(doc, {})[w] = n
+    total = sum(len(x) // 4 for _, x in docs)
+    moved = 0
+    for members in together.values():
+        at: dict = {}
+        for d in members:
+            for w, n in window[d].items():
+                at[w] = at.get(w, 0) + n
+        moved += sum(at.values()) - max(at.values())
+    assert sum(p[2] for p in pieces) == total and moved < 0.04 * total
+
+
 def test_levels_choose_the_least_sum_of_squares():
     rng = np.random.default_rng(5)
     c = 40
@@ -124,7 +152,7 @@ def test_best_fit_round_trip(request, tmp_path, spark, table):
     best_fit_packing.write_matrices(best_fit_packing.pack(docs, WORDS, block_ids=20000), str(tmp_path / "m"))
     rows = spark.read.parquet(str(tmp_path / "m")).collect()
     ids = best_fit_packing.read_matrix([bytes(r.ids) for r in rows], 2048)
-    positions = best_fit_packing.read_matrix([bytes(r.positions) for r in rows], 2048)
+    positions = best_fit_packing.read_matrix([bytes(r.positions) for r in rows], 2048, "<u2")
     found: dict = {}
     for r, line, place in zip(rows, ids, positions, strict=True):
         assert r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens
@@ -136,6 +164,16 @@ def test_best_fit_round_trip(request, tmp_path, spark, table):
         assert [x for s in sorted(parts) for x in parts[s]] == plain_ids(r.text)
 
 
+def test_best_fit_padding(spark):
+    """The registered form over whole tables: little padding, and blocks that cost little more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    share = []
+    for block in (1 << 21, 1 << 17):
+        rows = best_fit_packing.pack(docs, WORDS, block_ids=block).select("n_tokens").collect()
+        share.append(1 - sum(r.n_tokens for r in rows) / (2048 * len(rows)))
+    assert share[0] < 0.005 and share[1] < 0.02
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode_documents(none, RANKS, P.PATTERN).count() == 0
