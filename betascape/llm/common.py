@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts have it, for Java's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
+#: Elements of an array that are summed one after another.
+BLOCK = 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +57,29 @@ def batches(rows: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[list,
 def let(value: Column, body) -> Column:
     """``body(value)`` with value evaluated once, which plain substitution does not promise."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, op: Callable[[Column, Column], Column], levels: int = 3) -> Column:
+    """Sums (or what ``op`` does) of each integer and those before it.
+
+    One growing array would be copied for each element; blocks are summed each for itself and then raised by those before.
+    """
+
+    def plain(v: Column) -> Column:
+        def add(a: Column, x: Column) -> Column:
+            return let(op(a["at"], x), lambda y: F.struct(y.alias("at"), F.concat(a["out"], F.array(y)).alias("out")))
+
+        return F.aggregate(v, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
+
+    def blocked(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda b: plain(F.slice(v, b * BLOCK + 1, BLOCK)))
+
+        def raised(parts: Column) -> Column:
+            tops = running(F.transform(parts, lambda p: F.element_at(p, -1)), op, levels - 1)
+            return let(tops, lambda t: F.flatten(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.transform(p, lambda y: op(F.get(t, i - 1), y))))))
+
+        return let(parts, raised)
+
+    if levels == 1:
+        return plain(values)
+    return let(values, lambda v: F.when(F.size(v) > BLOCK, blocked(v)).otherwise(plain(v)))
