@@ -5,11 +5,12 @@ and the document's recorded length in bins as metadata; pairs of inputs interact
 low rank, summed in linear time as half of (square of the sum - sum of squares).  Language, source,
 id and labels are never inputs.
 
-The model is fitted on at most ``max_rows`` labelled rows, those with the least hash of their id
-among rows whose crc32 of the id as text is not 2 mod 4; all documents are scored.
+The model is fitted on at most ``max_rows`` labelled rows, those of the ids with the least hash
+among those whose crc32 of the id as text is not 2 mod 4, one row an id; all documents are scored.
 
 Cases: a null or empty text has structure inputs only, and a score; labels that are null are
-ignored, of several for one id the least counts; with one class only in the sample the score is
+ignored, of several for one id the least counts; of several documents of one id the one with the least
+text teaches; a table without ``n_chars`` is scored as one of nulls; with one class only in the sample the score is
 that class's share; without labels it is 0.5; repeated rows each get a row; an empty table gives an empty result; other
 columns are ignored; a null id counts as not held out.
 """
@@ -121,13 +122,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def inputs(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, n_chars (null where the table has none)."""
+    n_chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), n_chars.cast("long").alias("n_chars"))
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, label_col: str = "quality") -> Machine:
     """Fit on the labelled rows that the module names; only their inputs go to the driver."""
     ready(docs.sparkSession)
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).dropna()
     chosen = chosen.groupBy("doc_id").agg(F.min("y").alias("y")).where(~held_out())
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(chosen), "doc_id")
+    # One document an id, so that the bound holds for rows; copies meet before the shuffle.
+    rows = inputs(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "n_chars")).alias("x")).select("doc_id", "y", "x.*")
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, ys, texts, chars in batches(rows, "doc_id", "y", "text", "n_chars"):
@@ -136,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, label_col: s
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "y", "i", "x"])
 
     found = sorted(rows.mapInArrow(run, "doc_id long, y int, i binary, x binary").collect())
-    inputs = [(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float64)) for r in found]
-    return fit(inputs, np.array([float(r.y > 0) for r in found]))
+    used = [(np.frombuffer(r.i, np.int32), np.frombuffer(r.x, np.float64)) for r in found]
+    return fit(used, np.array([float(r.y > 0) for r in found]))
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
@@ -156,6 +164,5 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFram
             cols = [pa.array(ids, pa.int64()), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
-    found = rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    found = inputs(docs).mapInArrow(run, "doc_id long, score double, predicted int")
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted")
