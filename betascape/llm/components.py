@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two joins on the node key; its result goes to the shared checkpoint folder.  Rounds
-end when the edges no longer change: then each edge leads from a node to the least of its component.
+Each round is two joins on the node key; both sides and the result go to the shared checkpoint folder, so
+that a join can split the edges of a hub.  Rounds end when the edges no longer change: then each edge leads
+from a node to the least of its component.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from betascape.llm.common import cut
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
     """(node, root) for every node that has an edge and isn't a root itself.
 
-    Loops and repeated edges do no harm; edges with a null end are ignored.
+    Nodes are numbers or structs.  Loops and repeated edges do no harm; edges with a null end are ignored.
     """
     now = cut(
         edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -29,10 +30,10 @@ def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = seen
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # Large star: each larger neighbour goes to the least of the neighbourhood.
-        large = now.select(F.col("v").alias("u"), F.col("u").alias("x")).join(least, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct()
+        large = cut(now.select(F.col("v").alias("u"), F.col("u").alias("x")).join(least, "u").select(F.col("x").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: each smaller neighbour goes to the least one.
-        first = large.groupBy("u").agg(F.min("v").alias("m"))
+        first = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(first, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = cut(small.where("u != v").distinct())

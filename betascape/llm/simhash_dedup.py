@@ -145,22 +145,33 @@ def links(fps: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, chu
     return dealt.repartition("t", "k", "p", "q").sortWithinPartitions("t", "k", "p", "q").mapInArrow(run, "u long, v long")
 
 
+def joined(fps: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root): components of the nodes (none, doc_id, digest, fp) of ``fps``, named by their least node.
+
+    Joins are between checkpoints, so that a fingerprint with very many links can be split.
+    """
+    edges = cut(edges)
+    for end in "uv":
+        edges = cut(edges.join(fps.select(F.col("fp").alias(end), F.col("node").alias(f"n{end}")), end))
+    return components(edges, "nu", "nv")
+
+
 def representatives(docs: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): the least row of each component by doc_id, nulls last, then by the text's digest."""
-    rows = cut(fingerprints(docs, id_col, text_col, digest=True))
-    fps = cut(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")))
-    roots = components(links(fps.select("fp"), bits, blocks, n_pivots))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return named.groupBy("root").agg(F.min("least").alias("least")).select("least.doc_id", "least.digest")
+    """(doc_id, digest): the least row of each component by doc_id, nulls last, and then by the text's digest."""
+    rows = fingerprints(docs, id_col, text_col, digest=True)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    fps = cut(rows.groupBy("fp").agg(least).select("fp", F.struct("least.*", "fp").alias("node")))
+    others = joined(fps, links(fps.select("fp"), bits, blocks, n_pivots)).select(F.col("node.fp").alias("fp"))
+    return fps.join(others, "fp", "left_anti").select("node.doc_id", "node.digest")
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, blocks: int = 6, n_pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id of those
     reachable over links) and n_exact (documents with the same fingerprint)."""
     rows = cut(fingerprints(docs, id_col, text_col))
-    fps = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_exact")))
-    roots = components(links(fps.select("fp"), bits, blocks, n_pivots))
-    named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id", "n_exact")
+    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_exact"))
+    fps = cut(fps.select("fp", "n_exact", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("doc_id"), "fp").alias("node")))
+    found = joined(fps, links(fps.select("fp"), bits, blocks, n_pivots)).select(F.col("node.fp").alias("fp"), "root")
+    # As a checkpoint, so that the rows of a very frequent fingerprint can be split.
+    named = cut(fps.join(found, "fp", "left").select("fp", F.coalesce("root", "node").getField("doc_id").alias("component_id"), "n_exact"))
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_exact")
