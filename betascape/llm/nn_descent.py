@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: an NN-descent graph and greedy search over it.
 
-Equal vectors are one node, named by their least id, so copies cost nothing.  Each node starts
-with the nearest of a few random nodes.  Then, round by round, the neighbours of each node (and those that
-it is a neighbour of) meet in a Spark join: within such a meeting every member learns its nearest
-fellows, and each node keeps the nearest it has heard of.  Rounds end when few neighbour lists
-change.  The graph is built on half-precision copies of the vectors.
+Equal vectors are one node, so copies cost nothing.  Each node starts with the nearest of a few random
+nodes.  Then, round by round, the neighbours of each node (and those that it is a neighbour of) meet in a
+Spark join: within such a meeting every member learns its nearest fellows, but of pairs only those with a neighbour that
+is new to the node, as all others met there before; each node keeps the nearest it has heard of.  Rounds
+end when few neighbour lists change.  The graph is built on half-precision copies of the vectors, or on single-precision
+ones where their lengths differ widely.
 
 A query starts at its own node and walks the graph: in each step the nearest nodes that it has not
 expanded send their neighbours, which are measured on the original vectors; it ends when all of the
@@ -12,7 +13,7 @@ nearest ``pool`` nodes are expanded.  The graph's degree and the pool are parame
 approximation; recall is measured in the tests.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, or whose id is
-null, take no part, nor do vectors of another length than most; a row repeated in full counts
+null, take no part; vectors of different lengths are never near each other; a row repeated in full counts
 once; several vectors of one id are so many candidates, and queries, of that id; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -54,9 +55,7 @@ def clean(vectors: DataFrame, id_col: str, vec_col: str, kind: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(f"array<{KINDS[kind]}>").alias("v")).where("vec_id IS NOT NULL")
-    rows = rows.mapInArrow(run, "vec_id long, v binary").distinct()
-    size = rows.groupBy(F.length("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return rows.where(F.length("v") == (size["n"] if size else 0))
+    return rows.mapInArrow(run, "vec_id long, v binary").distinct()
 
 
 def grouped(rows: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:
@@ -93,13 +92,14 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def meet(rows: DataFrame, keep: int) -> DataFrame:
-    """(node, near, dist): for each member of each group (g, node, w) its nearest ``keep`` fellows."""
+def meet(rows: DataFrame, keep: int, kind: str) -> DataFrame:
+    """(node, near, dist): for each member of each group (g, node, new, w) its nearest ``keep`` fellows, of those
+    pairs where one is new.  Members of a group have vectors of one length."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it):
-            keys, nodes = t.column(0).to_numpy(), t.column(1).to_numpy()
-            w = matrix(t.column(2).combine_chunks(), "<f2")
+            keys, nodes, new = (t.column(i).to_numpy() for i in range(3))
+            raw = t.column(3).to_pylist()
             at = bounds(keys)
             out: list[list] = [[], [], []]
             for lo, hi in zip(at[:-1], at[1:], strict=True):
@@ -107,7 +107,9 @@ def meet(rows: DataFrame, keep: int) -> DataFrame:
                     b = min(hi, a + 1024)
                     if b - a < 2:
                         continue
-                    d = distances(w[a:b])
+                    d = distances(np.frombuffer(b"".join(raw[a:b]), kind).reshape(b - a, -1))
+                    if not (on := new[a:b].astype(bool)).all():
+                        d[np.ix_(~on, ~on)] = NONE
                     k = min(keep, b - a - 1)
                     near = np.argpartition(d, k - 1, 1)[:, :k]
                     out[0].append(np.repeat(nodes[a:b], k))
@@ -117,7 +119,7 @@ def meet(rows: DataFrame, keep: int) -> DataFrame:
                 cols = [np.concatenate(x) for x in out]
                 fit = np.lexsort((cols[2], cols[0]))
                 n, m, d = (c[fit] for c in cols)
-                on = n != m
+                on = (n != m) & np.isfinite(d)
                 # One row a node and batch: its lists of fellows and distances.
                 n, m, d = n[on], m[on], d[on].astype(np.float32)
                 if len(n):
@@ -129,8 +131,8 @@ def meet(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def keep_nearest(rows: DataFrame, degree: int) -> DataFrame:
-    """(node, near, dist, fresh): lists of one node merged into its nearest ``degree``; ``fresh`` counts
-    those that were not in the row flagged ``old``."""
+    """(node, near, dist, fresh): lists of one node merged into its nearest ``degree``; ``fresh`` tells
+    which were not in the row flagged ``old``."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it):
@@ -155,37 +157,41 @@ def keep_nearest(rows: DataFrame, degree: int) -> DataFrame:
             on = place < degree
             n, m, d, known = n[on], m[on], d[on], known[on]
             at = bounds(n)
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (m, d)]
-            fresh = np.add.reduceat((~known).astype(np.int32), at[:-1]) if len(n) else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(n[at[:-1]]), *lists, pa.array(fresh.astype(np.int32))], ["node", "near", "dist", "fresh"])
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (m, d, ~known)]
+            yield pa.RecordBatch.from_arrays([pa.array(n[at[:-1]]), *lists], ["node", "near", "dist", "fresh"])
 
     rows = rows.select("node", "near", "dist", "old").repartition("node").sortWithinPartitions("node")
-    return rows.mapInArrow(run, "node long, near array<long>, dist array<float>, fresh int")
+    return rows.mapInArrow(run, "node long, near array<long>, dist array<float>, fresh array<boolean>")
 
 
-def build_graph(nodes: DataFrame, degree: int = 20, rounds: int = 12, forward: int = 14, backward: int = 10, told: int = 8, start: int = 32, deals: int = 4, least_change: float = 0.03) -> DataFrame:
-    """(node, near): for nodes (node, v) the neighbours along graph edges, of both directions."""
-    half = cut(nodes.select("node", F.col("w")))
-    n = half.count()
-    groups = max(1, n // start)
+def build_graph(half: DataFrame, kind: str, degree: int = 20, rounds: int = 12, guests: int = 10, told: int = 10, start: int = 32, deals: int = 4, least_change: float = 0.03) -> DataFrame:
+    """(node, near): for nodes (node, w) the neighbours along graph edges, of both directions.
+
+    A node invites its new neighbours and some old ones, and as many of those that it is a neighbour of
+    (``guests`` of each of these kinds, but all new neighbours), chosen by a hash that changes each round.
+    """
+    sizes = half.groupBy(F.length("w").alias("bytes")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / start)).alias("groups"), F.count("*").alias("n"))
+    n = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
     # Several dealings into random groups: within one alone no path would leave a group.
-    each = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.pmod(F.xxhash64("node", F.lit(t)), F.lit(groups)).alias("g")) for t in range(deals)])).alias("x")
-    dealt = half.select(each, "node", "w").select((F.col("x.g") * deals + F.col("x.t")).alias("g"), "node", "w")
-    graph = cut(keep_nearest(meet(dealt, degree).withColumn("old", F.lit(False)), degree))
+    deal = F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("t")
+    dealt = half.join(sizes, F.length("w") == F.col("bytes")).select("node", "w", "bytes", "groups", deal)
+    dealt = dealt.select(F.xxhash64("bytes", "t", F.pmod(F.xxhash64("node", "t"), F.col("groups"))).alias("g"), "node", F.lit(True).alias("new"), "w")
+    graph = cut(keep_nearest(meet(dealt, degree, kind).withColumn("old", F.lit(False)), degree))
     for k in range(rounds):
-        edges = graph.select("node", F.posexplode(F.slice("near", 1, degree)).alias("pos", "near"))
-        # A node invites some of its neighbours, others each round, and nodes that name it, chosen by a hash.
+        edges = graph.select("node", F.explode(F.arrays_zip("near", "fresh")).alias("x")).select("node", "x.near", "x.fresh")
         turn = F.xxhash64("node", "near", F.lit(k))
-        out = edges.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(turn, "near"))).where(F.col("r") <= forward)
-        back = edges.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy(turn, "node"))).where(F.col("r") <= backward)
-        guests = out.select(F.col("node").alias("g"), F.col("near").alias("node")).union(back.select(F.col("near").alias("g"), "node"))
-        guests = guests.union(graph.select(F.col("node").alias("g"), "node")).distinct()
-        told_rows = meet(guests.join(half, "node").select("g", "node", "w"), told).withColumn("old", F.lit(False))
-        graph = cut(keep_nearest(graph.select("node", "near", "dist").withColumn("old", F.lit(True)).union(told_rows), degree))
-        fresh = graph.agg(F.sum("fresh").alias("n")).first()["n"] or 0
+        out = edges.withColumn("r", F.row_number().over(Window.partitionBy("node", "fresh").orderBy(turn, "near"))).where((F.col("r") <= guests) | F.col("fresh"))
+        back = edges.withColumn("r", F.row_number().over(Window.partitionBy("near", "fresh").orderBy(turn, "node"))).where(F.col("r") <= guests)
+        asked = out.select(F.col("node").alias("g"), F.col("near").alias("node"), "fresh").union(back.select(F.col("near").alias("g"), "node", "fresh"))
+        asked = asked.union(graph.select(F.col("node").alias("g"), "node", F.lit(False).alias("fresh"))).groupBy("g", "node").agg(F.max("fresh").alias("new"))
+        # Where nobody is new nobody need meet.
+        met = asked.groupBy("g").agg(F.collect_list(F.struct("node", "new")).alias("x")).where(F.exists("x", lambda x: x["new"])).select("g", F.inline("x"))
+        heard = meet(met.join(half, "node").select("g", "node", "new", "w"), told, kind).withColumn("old", F.lit(False))
+        graph = cut(keep_nearest(graph.select("node", "near", "dist").withColumn("old", F.lit(True)).union(heard), degree))
+        fresh = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))).alias("n")).first()["n"] or 0
         if fresh <= least_change * n * degree:
             break
-    edges = graph.select("node", F.posexplode("near").alias("pos", "near"), "dist").select("node", "near", F.get("dist", F.col("pos")).alias("d"))
+    edges = graph.select("node", F.explode(F.arrays_zip("near", "dist")).alias("x")).select("node", "x.near", F.col("x.dist").alias("d"))
     back = edges.withColumn("r", F.row_number().over(Window.partitionBy("near").orderBy("d", "node"))).where(F.col("r") <= 2 * degree)
     both = edges.select("node", "near").union(back.select(F.col("near").alias("node"), F.col("node").alias("near")))
     return cut(both.groupBy("node").agg(F.array_sort(F.collect_set("near")).alias("near")))
@@ -242,34 +248,53 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str, po
         state = cut(rows.mapInArrow(advance, state_schema))
 
 
+def named_nodes(rows: DataFrame) -> DataFrame:
+    """(node, v) for rows (vec_id, v): a number for each vector, its hash; of several vectors with one hash the later ones,
+    in their order, get another."""
+    one = rows.select("v").distinct().withColumn("h", F.xxhash64("v"))
+    r = F.row_number().over(Window.partitionBy("h").orderBy("v"))
+    return one.withColumn("r", r).select(F.when(F.col("r") == 1, F.col("h")).otherwise(F.xxhash64("v", "r")).alias("node"), "v")
+
+
+def halves(nodes: DataFrame, kind: str) -> tuple[DataFrame, str]:
+    """(node, w) and the kind of numbers in w: smaller copies of the vectors.
+
+    Divided by the median size of components, they keep three digits as half-precision numbers unless vectors are
+    far longer or shorter than others; then single-precision ones serve.
+    """
+
+    def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            raw = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(np.frombuffer(r, kind).astype(float)).max()) for r in raw], pa.float64())], ["size"])
+
+    found = nodes.select("v").mapInArrow(sizes, "size double").agg(F.min("size").alias("a"), F.percentile_approx("size", 0.5).alias("m"), F.max("size").alias("b")).first()
+    scale = found["m"] or 1.0
+    small = "<f2" if found["m"] and found["b"] < 100 * scale and found["a"] * 100 > scale else "<f4"
+    top = 3e4 if small == "<f2" else 1e15
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            x = [np.clip(np.frombuffer(r, kind).astype(float) / scale, -top, top).astype(small).tobytes() for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "w"])
+
+    return cut(nodes.select("node", "v").mapInArrow(run, "node long, w binary")), small
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 10, degree: int = 20, pool: int = 640, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows found for each row
     whose vec_id meets ``is_query`` (a Column over vec_id); ties go to the smaller vec_id."""
     ready(vectors.sparkSession)
     kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = cut(clean(vectors, id_col, vec_col, kind))
-    nodes = cut(rows.groupBy("v").agg(F.min("vec_id").alias("least")).select(F.xxhash64("v").alias("node"), "v", "least"))
-
-    def halves(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                x = matrix(b.column(1), kind).astype(float)
-                # Scaled into the range of half precision, each vector's direction kept.
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in np.clip(x / scale, -6e4, 6e4).astype("<f2")], pa.binary())], ["node", "w"])
-
-    top = nodes.select(F.max(F.length("v")).alias("n")).first()["n"]
-    scale = 1.0
-    if top:
-        first = np.frombuffer(nodes.select("v").first()["v"], kind).astype(float)
-        scale = float(np.sqrt((first**2).mean())) or 1.0
-    small = nodes.select("node", "v").mapInArrow(halves, "node long, w binary")
-    graph = build_graph(small, degree)
-    named = rows.select("vec_id", F.xxhash64("v").alias("node"), "v")
-    asking = named.where(is_query).select("vec_id", "node").distinct()
+    nodes = cut(named_nodes(rows))
+    graph = build_graph(*halves(nodes, kind), degree)
+    named = rows.join(nodes, "v").select("vec_id", "node")
+    asking = named.where(is_query).distinct()
     queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.select(F.col("node").alias("q"), "v"), "q")
     found = search(queries, nodes, graph, kind, pool)
     # Of each node the k + 1 least ids are enough for any query, one of them may be its own.
-    first = named.select("node", "vec_id").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
+    first = named.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = first.groupBy("node").agg(F.collect_list("vec_id").alias("ids"))
     pairs = found.select("q", F.posexplode("near").alias("pos", "node"), "dist").select("q", "node", F.get("dist", F.col("pos")).alias("score"))
     pairs = pairs.join(members, "node").select("q", F.explode("ids").alias("vec_id"), "score")
