@@ -4,13 +4,12 @@ Equal vectors are one node, so copies cost nothing.  Each node starts with the n
 nodes.  Then, round by round, the neighbours of each node (and those that it is a neighbour of) meet in a
 Spark join: within such a meeting every member learns its nearest fellows, but of pairs only those with a neighbour that
 is new to the node, as all others met there before; each node keeps the nearest it has heard of.  Rounds
-end when few neighbour lists change.  The graph is built on half-precision copies of the vectors, or on single-precision
-ones where their lengths differ widely.
+end when the share of new neighbours falls.
 
 A query starts at its own node and walks the graph: in each step the nearest nodes that it has not
-expanded send their neighbours, which are measured on the original vectors; it ends when all of the
-nearest ``pool`` nodes are expanded.  The graph's degree and the pool are parameters of the
-approximation; recall is measured in the tests.
+expanded send their neighbours; it ends when all of the nearest ``pool`` nodes are expanded.  Graph and
+walk use small copies of the vectors (see ``halves``); the pool is then measured on the original ones.  The graph's degree
+and the pool are parameters of the approximation; recall is measured in the tests.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, or whose id is
 null, take no part; vectors of different lengths are never near each other; a row repeated in full counts
@@ -164,11 +163,12 @@ def keep_nearest(rows: DataFrame, degree: int) -> DataFrame:
     return rows.mapInArrow(run, "node long, near array<long>, dist array<float>, fresh array<boolean>")
 
 
-def build_graph(half: DataFrame, kind: str, degree: int = 20, rounds: int = 12, guests: int = 10, told: int = 10, start: int = 32, deals: int = 4, least_change: float = 0.03) -> DataFrame:
+def build_graph(half: DataFrame, kind: str, degree: int = 40, rounds: int = 30, guests: int = 6, told: int = 10, start: int = 32, deals: int = 4, least_change: float = 0.6) -> DataFrame:
     """(node, near): for nodes (node, w) the neighbours along graph edges, of both directions.
 
     A node invites its new neighbours and some old ones, and as many of those that it is a neighbour of
-    (``guests`` of each of these kinds, but all new neighbours), chosen by a hash that changes each round.
+    (``guests`` of each of these kinds, but all new neighbours), chosen by a hash that changes each round.  Rounds end when
+    no more than ``least_change`` of the neighbours are new: the search makes up for what further rounds would find, at less cost.
     """
     sizes = half.groupBy(F.length("w").alias("bytes")).agg(F.greatest(F.lit(1), F.floor(F.count("*") / start)).alias("groups"), F.count("*").alias("n"))
     n = sizes.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -197,14 +197,14 @@ def build_graph(half: DataFrame, kind: str, degree: int = 20, rounds: int = 12,
     return cut(both.groupBy("node").agg(F.array_sort(F.collect_set("near")).alias("near")))
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str, pool: int = 640, step: int = 64) -> DataFrame:
-    """(q, near, dist): for query nodes (q, v) the nearest ``pool`` nodes that greedy search meets, and
-    distances, nearest first.
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str, pool: int = 200, step: int = 64) -> DataFrame:
+    """(q, near): for query nodes (q, w) the nearest ``pool`` nodes that greedy search meets, nearest first; ``nodes`` has the
+    same small copies (node, w).
 
     A state is one row a query: the nodes met so far that count, their distances, and which of them
     are expanded.  Rows of nodes that a step has reached come after it under the same key.
     """
-    state_schema = "q long, v binary, near array<long>, dist array<double>, done array<boolean>"
+    state_schema = "q long, w binary, near array<long>, dist array<double>, done array<boolean>"
 
     def advance(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in grouped(it):
@@ -224,30 +224,48 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str, po
                 fresh = [k for k in range(lo + 1, hi) if met[k] not in known]
                 if fresh:
                     x = np.frombuffer(b"".join(mets[k].as_py() for k in fresh), kind).reshape(len(fresh), -1).astype(float)
-                    d = np.sqrt(((x - q) ** 2).sum(1)).tolist()
+                    d = ((x - q) ** 2).sum(1).tolist()
                     rows = sorted([*zip(dist, near, done, strict=True), *((a, met[k], False) for a, k in zip(d, fresh, strict=True))])[:pool]
                     dist, near, done = map(list, zip(*rows, strict=True))
                 for o, x in zip(out, (int(keys[lo]), vs[lo].as_py(), near, dist, done), strict=True):
                     o.append(x)
             kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.bool_())]
-            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["q", "v", "near", "dist", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["q", "w", "near", "dist", "done"])
 
-    begin = queries.select("q", "v", F.array("q").alias("near"), F.array(F.lit(0.0)).alias("dist"), F.array(F.lit(False)).alias("done"))
+    begin = queries.select("q", "w", F.array("q").alias("near"), F.array(F.lit(0.0)).alias("dist"), F.array(F.lit(False)).alias("done"))
     state = cut(begin)
     while True:
         asked = F.slice(F.filter("near", lambda x, i: ~F.get(F.col("done"), i)), 1, step)
-        wanted = state.select("q", "near", F.explode(asked).alias("node"))
+        wanted = state.select("q", F.explode(asked).alias("node"))
         if wanted.isEmpty():
-            return state.select("q", "near", "dist")
-        reached = wanted.select("q", "node").join(graph, "node").select("q", F.explode("near").alias("node")).distinct()
+            return state.select("q", "near")
+        reached = wanted.join(graph, "node").select("q", F.explode("near").alias("node")).distinct()
         # A node dropped from the pool may be met again; it is farther than all of the pool then, or back in it.
-        reached = reached.join(nodes.select("node", "v"), "node").select("q", F.lit(None).cast("binary").alias("v"), F.col("node").alias("met"), F.col("v").alias("w"))
+        reached = reached.join(nodes, "node").select("q", F.lit(None).cast("binary").alias("w"), F.col("node").alias("met"), F.col("w").alias("v"))
         empty = [F.lit(None).cast(t).alias(n) for n, t in (("near", "array<long>"), ("dist", "array<double>"), ("done", "array<boolean>"))]
-        rows = state.select("*", F.lit(None).cast("long").alias("met"), F.lit(None).cast("binary").alias("w")).union(reached.select("q", "v", *empty, "met", "w"))
+        rows = state.select("*", F.lit(None).cast("long").alias("met"), F.lit(None).cast("binary").alias("v")).union(reached.select("q", "w", *empty, "met", "v"))
         rows = rows.repartition("q").sortWithinPartitions("q", F.asc_nulls_first("met"))
         state = cut(rows.mapInArrow(advance, state_schema))
 
 
+def measured(found: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
+    """(q, node, score): the distances of nodes (q, near) to their query on the original vectors (node, v)."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(it):
+            keys, met = t.column(0).to_numpy(), t.column(1).to_numpy()
+            raw, at = t.column(2).to_pylist(), bounds(keys)
+            score = np.empty(len(keys))
+            for lo, hi in zip(at[:-1], at[1:], strict=True):
+                x = np.frombuffer(b"".join(raw[lo:hi]), kind).reshape(hi - lo, -1).astype(float)
+                own = int(np.flatnonzero(met[lo:hi] == keys[lo])[0])  # a query is the first of its own pool
+                score[lo:hi] = np.sqrt(((x - x[own]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(met), pa.array(score)], ["q", "node", "score"])
+
+    rows = found.select("q", F.explode("near").alias("node")).join(nodes, "node").select("q", "node", "v")
+    return rows.repartition("q").sortWithinPartitions("q").mapInArrow(run, "q long, node long, score double")
+
+
 def named_nodes(rows: DataFrame) -> DataFrame:
     """(node, v) for rows (vec_id, v): a number for each vector, its hash; of several vectors with one hash the later ones,
     in their order, get another."""
@@ -257,10 +275,10 @@ def named_nodes(rows: DataFrame) -> DataFrame:
 
 
 def halves(nodes: DataFrame, kind: str) -> tuple[DataFrame, str]:
-    """(node, w) and the kind of numbers in w: smaller copies of the vectors.
+    """(node, w) and the kind of numbers in w: smaller copies of the vectors, for the graph and the walk.
 
-    Divided by the median size of components, they keep three digits as half-precision numbers unless vectors are
-    far longer or shorter than others; then single-precision ones serve.
+    Numbers of 8 bits span the components of all vectors if these are of about one size; else they are divided by the
+    median size and held in half precision, or in single precision where some are far longer or shorter.
     """
 
     def sizes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,35 +287,36 @@ def halves(nodes: DataFrame, kind: str) -> tuple[DataFrame, str]:
             yield pa.RecordBatch.from_arrays([pa.array([float(np.abs(np.frombuffer(r, kind).astype(float)).max()) for r in raw], pa.float64())], ["size"])
 
     found = nodes.select("v").mapInArrow(sizes, "size double").agg(F.min("size").alias("a"), F.percentile_approx("size", 0.5).alias("m"), F.max("size").alias("b")).first()
-    scale = found["m"] or 1.0
-    small = "<f2" if found["m"] and found["b"] < 100 * scale and found["a"] * 100 > scale else "<f4"
-    top = 3e4 if small == "<f2" else 1e15
+    middle = found["m"] or 1.0
+    alike = lambda times: found["m"] and found["b"] < times * middle and found["a"] * times > middle
+    small, scale, top = ("i1", found["b"] / 127, 127) if alike(4) else ("<f2", middle, 3e4) if alike(100) else ("<f4", middle, 1e15)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = [np.clip(np.frombuffer(r, kind).astype(float) / scale, -top, top).astype(small).tobytes() for r in b.column(1).to_pylist()]
+            x = [np.clip(np.frombuffer(r, kind).astype(float) / scale, -top, top) for r in b.column(1).to_pylist()]
+            x = [(np.round(v) if small == "i1" else v).astype(small).tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["node", "w"])
 
     return cut(nodes.select("node", "v").mapInArrow(run, "node long, w binary")), small
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 10, degree: int = 20, pool: int = 640, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 10, degree: int = 40, pool: int = 200, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance) of the k nearest rows found for each row
     whose vec_id meets ``is_query`` (a Column over vec_id); ties go to the smaller vec_id."""
     ready(vectors.sparkSession)
     kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     rows = cut(clean(vectors, id_col, vec_col, kind))
     nodes = cut(named_nodes(rows))
-    graph = build_graph(*halves(nodes, kind), degree)
+    small, small_kind = halves(nodes, kind)
+    graph = build_graph(small, small_kind, degree)
     named = rows.join(nodes, "v").select("vec_id", "node")
     asking = named.where(is_query).distinct()
-    queries = asking.select(F.col("node").alias("q")).distinct().join(nodes.select(F.col("node").alias("q"), "v"), "q")
-    found = search(queries, nodes, graph, kind, pool)
+    queries = asking.select(F.col("node").alias("q")).distinct().join(small.withColumnRenamed("node", "q"), "q")
+    found = measured(search(queries, small, graph, small_kind, max(pool, 4 * k)), nodes, kind)
     # Of each node the k + 1 least ids are enough for any query, one of them may be its own.
     first = named.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     members = first.groupBy("node").agg(F.collect_list("vec_id").alias("ids"))
-    pairs = found.select("q", F.posexplode("near").alias("pos", "node"), "dist").select("q", "node", F.get("dist", F.col("pos")).alias("score"))
-    pairs = pairs.join(members, "node").select("q", F.explode("ids").alias("vec_id"), "score")
+    pairs = found.join(members, "node").select("q", F.explode("ids").alias("vec_id"), "score")
     best = pairs.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k + 1).alias("best"))
     asked = asking.select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")).join(best, "q")
     mine = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
