@@ -117,6 +117,14 @@ def test_odd_documents(spark):
             assert stage(spark, rows, SMALL).count() == (2 if stage is cp.near_dedup and rows is docs else rows.count())
 
 
+def test_missing_and_clashing_columns(spark):
+    text = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "a", "b"), (2, text + " more", None, "c")], "doc_id long, text string, spans string, digest string")
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() >= 1 and (name == "online_packing" or out.columns == list(cp.COLUMNS))
+
+
 def test_near_dedup_decides_per_row(spark):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (1, text(4)), (None, text(5)), (None, text(1))]
