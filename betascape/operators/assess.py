@@ -8,6 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from betascape.functions.scalar import bin_of, deviance
+from betascape.operators.order import quantiles
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson's, over rows that have both; null where either is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a).cast("double")), F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def error_metrics(df: DataFrame, y: str = "distance", mu: str = "predicted") -> DataFrame:
@@ -15,7 +22,7 @@ def error_metrics(df: DataFrame, y: str = "distance", mu: str = "predicted") ->
     e = F.col(mu) - F.col(y)
     return df.agg(
         deviance(F.col(y), F.col(mu)).alias("deviance"), F.avg(e).alias("me"), F.avg(F.abs(e)).alias("mae"),
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.corr(y, mu).alias("corr"),
+        F.sqrt(F.avg(e * e)).alias("rmse"), correlation(y, mu).alias("corr"),
     )
 
 
@@ -56,12 +63,11 @@ def evenness(df: DataFrame, x: str = "n") -> DataFrame:
 
 
 def six_numbers(df: DataFrame, x: str) -> DataFrame:
-    """Least, quartiles, mean and largest; quartiles interpolate linearly."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    """Least, quartiles, mean and largest; quartiles interpolate linearly.  All null without values."""
     v = F.col(x).cast("double")
-    return df.agg(F.min(v).alias("min"), q.alias("q"), F.avg(v).alias("mean"), F.max(v).alias("max")).select(
-        "min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), "mean", F.get("q", F.lit(2)).alias("q3"), "max"
-    )
+    whole = df.agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    q = quantiles(df.select(v.alias("v")), [], "v", (0.25, 0.5, 0.75))
+    return whole.join(F.broadcast(q)).select("min", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), "mean", F.get("q", F.lit(2)).alias("q3"), "max")
 
 
 def site_use(pairs: DataFrame, sites: DataFrame) -> DataFrame:
@@ -101,7 +107,7 @@ def environment_boxes(sites: DataFrame, pairs: DataFrame, columns: tuple[str, st
 def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(a, b, r) of all column pairs from one aggregation; each skips rows where either is null."""
     pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k + 1 :]]
-    one = df.agg(*[F.corr(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)])
+    one = df.agg(*[correlation(a, b).alias(f"{k}") for k, (a, b) in enumerate(pairs)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{k}`").alias("r")) for k, (a, b) in enumerate(pairs)])))
 
 

@@ -6,12 +6,14 @@ import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from betascape.functions.scalar import albers, albers_inverse, manhattan, spline_sum, spline_value
+from betascape.operators.blocks import FIRST, SECOND, block_join
 from betascape.operators.model import Model
+from betascape.operators.order import quantiles
 from betascape.sources.grid import Header
 
 METHODS = ("Clamped", "Conservative", "End10", "WholeGrad")
@@ -143,17 +145,31 @@ def two_epoch(first: DataFrame, second: DataFrame, layers: Sequence[str]) -> Dat
     return first.join(other, ["row", "col"]).select("row", "col", (1 - F.exp(-d)).alias("dissimilarity"))
 
 
+def numbers(t: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Columns side by side as doubles; null is NaN."""
+    return np.stack([t.column(n).to_numpy().astype(float) for n in names], 1) if names else np.zeros((t.num_rows, 0))
+
+
 def impact(first: DataFrame, second: DataFrame, points: DataFrame, layers: Sequence[str]) -> DataFrame:
     """For each demand point the least dissimilarity to any cell, in either epoch, and the change.
 
-    Points are a small table by nature (their number is a parameter of the choice); each epoch's
-    cells are reduced in place, point by point, before anything is shuffled.
+    Cells and points meet block by block.  Cells, and points, with a null in a layer have no distance;
+    a point without any has null results.
     """
+    layers = list(layers)
+
+    def least(cells: pa.Table, some: pa.Table) -> pa.Table:
+        x, p = numbers(cells, layers), numbers(some, layers)
+        x = x[~np.isnan(x).any(1)]
+        d = [np.abs(x - q).sum(1).min(initial=np.inf) if not np.isnan(q).any() else np.inf for q in p]
+        found = pa.array([v if np.isfinite(v) else None for v in d], pa.float64())
+        return pa.table({"point": some.column("point"), "d": found})
+
     out = points.select("point")
+    named = points.select("point", *[F.col(c).cast("double").alias(c) for c in layers])
     for k, cells in ((0, first), (1, second)):
-        named = points.select("point", *[F.col(c).alias(f"__{c}") for c in layers])
-        d = F.min(l1([F.col(c) for c in layers], [F.col(f"__{c}") for c in layers]))
-        out = out.join(cells.join(named).groupBy("point").agg((1 - F.exp(-d)).alias(f"d{k}")), "point")
+        met = block_join(cells.select(*[F.col(c).cast("double").alias(c) for c in layers]), named, least, f"point {dict(points.dtypes)['point']}, d double")
+        out = out.join(met.groupBy("point").agg((1 - F.exp(-F.min("d"))).alias(f"d{k}")), "point", "left")
     return out.withColumn("difference", F.col("d1") - F.col("d0"))
 
 
@@ -171,9 +187,13 @@ def point_table(points: DataFrame, layers: Sequence[str], similarity: bool = Fal
 
 def class_vectors(rows: DataFrame, label: str, vector: str, how: str = "mean") -> DataFrame:
     """(label, n, vector): means or medians of each component by class."""
-    agg = F.avg("x") if how == "mean" else F.percentile("x", F.lit(0.5))
-    each = rows.select(label, F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double")).groupBy(label, "pos").agg(agg.alias("x"), F.count("*").alias("n"))
-    return each.groupBy(label).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias(vector))
+    long = rows.select(F.col(label).alias("__label"), F.posexplode(vector).alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
+    each = long.groupBy("__label", "pos").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    if how != "mean":
+        middle = quantiles(long, ["__label", "pos"], "x", [0.5]).select(F.col("__label").alias("__own"), F.col("pos").alias("__pos"), F.get("q", F.lit(0)).alias("__m"))
+        each = each.join(middle, F.col("__label").eqNullSafe(F.col("__own")) & (F.col("pos") == F.col("__pos")), "left").select("__label", "pos", F.col("__m").alias("x"), "n")
+    vectors = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"])
+    return each.groupBy(F.col("__label").alias(label)).agg(F.max("n").alias("n"), vectors.alias(vector))
 
 
 def class_similarity(vectors: DataFrame, label: str, vector: str) -> DataFrame:
@@ -182,42 +202,66 @@ def class_similarity(vectors: DataFrame, label: str, vector: str) -> DataFrame:
     return vectors.join(other, F.col(label) <= F.col("b")).select(F.col(label).alias("a"), "b", F.exp(-manhattan(F.col(vector), F.col("__v"))).alias("similarity"))
 
 
-def density(cells: DataFrame, sample: DataFrame, layers: Sequence[str], share: float, condition: str | None = None) -> DataFrame:
-    """Sum over sampled cells of exp(-L1) (times their condition), scaled up by the share sampled."""
+def density(cells: DataFrame, sample: DataFrame, layers: Sequence[str], share: float, condition: str | None = None, block: int = SECOND) -> DataFrame:
+    """Sum over sampled cells of exp(-L1) (times their condition), scaled up by the share sampled.
+
+    Cells meet the sample block by block.  Sampled cells with a null add nothing; cells with one have a null sum.
+    """
+    layers = list(layers)
+
+    def sums(some: pa.Table, held: pa.Table) -> pa.Table:
+        x, s = numbers(some, layers), numbers(held, [*layers, "__w"])
+        s = s[~np.isnan(s).any(1)]
+        out = np.full(len(x), np.nan)
+        for lo in range(0, len(x), 64):
+            part = x[lo : lo + 64]
+            out[lo : lo + 64] = (np.exp(-sum(np.abs(part[:, k, None] - s[None, :, k]) for k in range(len(layers)))) * s[:, -1]).sum(1)
+        known = ~np.isnan(x).any(1) & (len(s) > 0)
+        return pa.table({"row": some.column("row"), "col": some.column("col"), "v": pa.array(np.where(known, out, 0.0), mask=~known)})
+
     w = F.col(condition) if condition else F.lit(1.0)
-    named = sample.select(*[F.col(c).alias(f"__{c}") for c in layers], w.alias("__w"))
-    term = F.exp(-l1([F.col(c) for c in layers], [F.col(f"__{c}") for c in layers])) * F.col("__w")
-    return cells.join(named).groupBy("row", "col").agg((F.sum(term) / share).alias("density"))
+    held = sample.select(*[F.col(c).cast("double").alias(c) for c in layers], w.cast("double").alias("__w"))
+    some = cells.select("row", "col", *[F.col(c).cast("double").alias(c) for c in layers])
+    types = dict(cells.dtypes)
+    met = block_join(some, held, sums, f"row {types['row']}, col {types['col']}, v double", (FIRST, block))
+    return met.groupBy("row", "col").agg((F.sum("v") / share).alias("density"))
 
 
-def nearest(rows: DataFrame, training: DataFrame, k: int, key: str = "id", vector: str = "v", label: str = "label", block: int = 50_000) -> DataFrame:
+def nearest(rows: DataFrame, training: DataFrame, k: int, key: str = "id", vector: str = "v", label: str = "label", block: int = SECOND) -> DataFrame:
     """(id, label, tid, dist, rank): the k nearest training rows (tid, label, v) by L1, ties by tid.
 
-    Training rows are broadcast, at most about ``block`` at a time; a larger table takes several passes,
-    each of which keeps its k nearest, and the passes' bests are merged.
+    Rows meet training rows block by block, and the bests of the blocks are merged.  In a block the distance to a
+    pivot bounds that to a row: only those within the k-th best of a first few are measured.
     """
     types = dict(training.dtypes)
     schema = f"id {dict(rows.dtypes)[key]}, label {types[label]}, tid {types['tid']}, dist double"
-    passes = max(1, -(-training.count() // block))
+
+    def best(some: pa.Table, held: pa.Table) -> pa.Table:
+        x, t = (np.array(c.column("v").to_pylist(), float) for c in (some, held))
+        tid = held.column("tid").to_numpy(zero_copy_only=False)
+        pivot = t.mean(0)
+        far = np.abs(t - pivot).sum(1)
+        order = np.argsort(far, kind="stable")
+        t, tid, far = t[order], tid[order], far[order]
+        n = min(k, len(t))
+        at: list[np.ndarray] = []
+        dist: list[np.ndarray] = []
+        for v, own in zip(x, np.abs(x - pivot).sum(1), strict=True):
+            mid = min(max(0, int(np.searchsorted(far, own)) - 2 * n), max(0, len(t) - 4 * n))
+            bound = np.partition(np.abs(t[mid : mid + 4 * n] - v).sum(1), n - 1)[n - 1] * (1 + 1e-12)
+            lo, hi = np.searchsorted(far, own - bound - 1e-9), np.searchsorted(far, own + bound + 1e-9, "right")
+            d = np.abs(t[lo:hi] - v).sum(1)
+            near = np.flatnonzero(d <= np.partition(d, n - 1)[n - 1])
+            near = near[np.lexsort((tid[lo:hi][near], d[near]))[:n]]
+            at.append(order[lo + near])
+            dist.append(d[near])
+        chosen = pa.array(np.concatenate(at))
+        ids = some.column("id").take(pa.array(np.repeat(np.arange(len(x)), [len(a) for a in at])))
+        return pa.table({"id": ids, "label": held.column("label").take(chosen), "tid": held.column("tid").take(chosen), "dist": np.concatenate(dist)})
+
     queries = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    found = None
-    for b in range(passes):
-        part = training.where(F.pmod(F.xxhash64("tid"), F.lit(passes)) == b)
-        held = part.select("tid", F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v")).toPandas()
-        shared = rows.sparkSession.sparkContext.broadcast((held.tid.to_numpy(), held.label.to_numpy(), np.array(held.v.to_list(), float)))
-
-        def run(it: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tid, lab, tv = shared.value
-            for pdf in it:
-                for i, v in zip(pdf.id, pdf.v, strict=True):
-                    if not len(tid):
-                        continue
-                    d = np.abs(tv - np.asarray(v)).sum(1)
-                    top = np.lexsort((tid, d))[:k]
-                    yield pd.DataFrame({"id": i, "label": lab[top], "tid": tid[top], "dist": d[top]})
-
-        one = queries.mapInPandas(run, schema)
-        found = one if found is None else found.union(one)
+    held = training.select("tid", F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    found = block_join(queries.where("v IS NOT NULL"), held.where("v IS NOT NULL"), best, schema, (FIRST, block))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("dist", "tid"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -232,24 +276,40 @@ def class_probability(near: DataFrame, r: float) -> DataFrame:
     return rows.select("id", "label", F.when(total > 0, F.col("w") / total).otherwise(0.0).alias("p"))
 
 
-def best_jr(training: DataFrame, js: Sequence[int], rs: Sequence[float], objective: str = "compat") -> tuple[int, float, DataFrame]:
+def best_jr(training: DataFrame, js: Sequence[int] | None = None, rs: Sequence[float] | None = None, objective: str = "compat") -> tuple[int, float, DataFrame]:
     """(J, R) whose leave-one-out class probabilities score best, and all scores.
 
-    The score is the summed squared shortfall of the true class's probability, by J.  ``compat`` takes
-    the largest, and the first R whose best J is not at an end; ``min`` the smallest of all.
+    By default J is 30 to 100, or to what the table allows, and R 0.1 to 0.9.  The score is the summed squared
+    shortfall of the true class's probability, by J.  ``compat`` takes the largest, and the first R whose best J is not at
+    an end; ``min`` the smallest of all.  One table of neighbours serves all settings.
     """
-    near = nearest(training.withColumn("id", F.col("tid")), training, max(js) + 1)
-    near = near.where(F.col("tid") != F.col("id")).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("dist", "tid"))).persist()
-    scores = None
-    truth = training.select(F.col("tid").alias("id"), F.col("label").alias("own"))
-    for r in rs:
-        for j in js:
-            p = class_probability(near.where(F.col("rank") <= j), r).join(truth, "id").where("label = own").select("id", "p")
-            s = truth.join(p, "id", "left").agg(F.sum(F.pow(1 - F.coalesce("p", F.lit(0.0)), 2)).alias("sos"))
-            s = s.select(F.lit(int(j)).alias("j"), F.lit(float(r)).alias("r"), (F.col("sos") / F.lit(float(j))).alias("score"))
-            scores = s if scores is None else scores.union(s)
-    rows = scores.collect()
-    near.unpersist()
+    rs = list(rs) if rs is not None else [k / 10 for k in range(1, 10)]
+    if js is None:
+        top = min(100, training.count() - 1)
+        js = range(min(30, top), top + 1)
+    js = list(js)
+    near = nearest(training.withColumn("id", F.col("tid")), training, max(js) + 1).where(F.col("tid") != F.col("id"))
+    own = training.select(F.col("tid").alias("id"), F.col("label").alias("own"))
+    near = near.join(own, "id").groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("dist", "tid", F.col("label").eqNullSafe(F.col("own")).alias("same")))), 1, max(js)).alias("x"))
+    near = own.select("id").join(near, "id", "left").select(F.transform("x", lambda x: x["dist"]).alias("dist"), F.transform("x", lambda x: x["same"]).alias("same"))
+
+    def shortfalls(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(js), len(rs)))
+        for b in it:
+            for dist, same in zip(*(b.column(c).to_pylist() for c in range(2)), strict=True):
+                d, s = np.array(dist or [], float), np.array(same or [], bool)
+                for a, j in enumerate(js):
+                    x = d[:j]
+                    mean = x.mean() if len(x) else 0.0
+                    theta = 2 * (mean * np.array(rs)) ** 2
+                    w = np.exp(-(x[None] ** 2) / np.where(theta > 0, theta, 1.0)[:, None]) * (theta > 0)[:, None]
+                    whole = w.sum(1)
+                    p = np.where(whole > 0, w[:, s[:j]].sum(1) / np.where(whole > 0, whole, 1.0), 0.0)
+                    total[a] += (1 - p) ** 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(js, len(rs)).astype(np.int32)), pa.array(np.tile(rs, len(js)).astype(float)), pa.array(total.ravel())], ["j", "r", "sos"])
+
+    scores = near.mapInArrow(shortfalls, "j int, r double, sos double").groupBy("j", "r").agg(F.sum("sos").alias("sos"))
+    rows = scores.select("j", "r", (F.col("sos") / F.col("j")).alias("score")).collect()
     if objective == "min":
         best = min(rows, key=lambda x: (x.score, x.r, x.j))
     else:
@@ -259,7 +319,7 @@ def best_jr(training: DataFrame, js: Sequence[int], rs: Sequence[float], objecti
             if min(js) < top.j < max(js):
                 best = top
                 break
-    return best.j, best.r, training.sparkSession.createDataFrame(rows)
+    return best.j, best.r, training.sparkSession.createDataFrame(rows, "j int, r double, score double")
 
 
 def zonal_counts(zones: DataFrame, data: DataFrame, zone: str = "zone", value: str = "value") -> DataFrame:

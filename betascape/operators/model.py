@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from betascape.functions.scalar import basis, spline_sum
+from betascape.operators.order import ranked_by
 from betascape.operators.pairs import geographic_distance
 
 ITERATIONS, TOLERANCE, EDGE = 12, 1e-4, 1e-10
@@ -116,24 +117,18 @@ def percentile_rank(n: int, percent: int) -> int:
     return int(np.floor(n * p) if np.fmod(n, p) < 0.5 else min(n - 1, np.ceil(n * p)))
 
 
-def ranked_values(df: DataFrame, values: dict[str, Column], ranks: Callable[[int], list[int]]) -> dict[str, list[float]]:
-    """Values at given ranks (from 0) of sorted columns; two aggregations for all columns."""
-    wide = df.select(*[v.cast("double").alias(k) for k, v in values.items()])
-    counts = wide.agg(*[F.count(k).alias(k) for k in values]).first()
-    picks = {k: [r / max(1, counts[k] - 1) for r in ranks(counts[k])] for k in values if counts[k]}
-    if not picks:
-        return {}
-    found = wide.agg(*[F.percentile(k, F.array(*map(F.lit, p))).alias(k) for k, p in picks.items()]).first()
-    return {k: list(found[k]) for k in picks}
-
-
 def quantile_knots(pairs: DataFrame, predictors: Sequence[str], k: int = 3, geo: bool = False) -> list[list[float]]:
     """Order-statistic knots of each predictor over both ends (and of the distance first)."""
-    ranks = lambda n: [order_rank(n, k, i) for i in range(k)]
-    both = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{p}").cast("double").alias(p) for p in predictors]) for s in ("s1", "s2")])).alias("v"))
-    out = ranked_values(both, {p: F.col(f"v.{p}") for p in predictors}, ranks)
-    first = [ranked_values(pairs, {"d": geographic_distance(None)}, ranks)["d"]] if geo else []
-    return first + [out[p] for p in predictors]
+    return knots_by(pairs.withColumn("__set", F.lit(0)), "__set", predictors, k, geo)[0]
+
+
+def knots_by(pairs: DataFrame, key: str, predictors: Sequence[str], k: int = 3, geo: bool = False) -> dict[object, list[list[float]]]:
+    """The same for each value of a key."""
+    ends = lambda s: F.struct(*[F.col(f"{s}_{p}").cast("double").alias(p) for p in predictors], (geographic_distance(None) if geo and s == "s1" else F.lit(None).cast("double")).alias("__geo"))
+    both = pairs.select(F.col(key).alias("__key"), F.explode(F.array(ends("s1"), ends("s2"))).alias("v"))
+    names = (["__geo"] if geo else []) + list(predictors)
+    found = ranked_by(both, "__key", {p: F.col(f"v.{p}") for p in names}, lambda n: [order_rank(n, k, i) for i in range(k)])
+    return {f: [out[p] for p in names] for f, out in found.items()}
 
 
 def nnls(gram: np.ndarray, right: np.ndarray, tolerance: float = 1e-10) -> np.ndarray:
@@ -217,6 +212,19 @@ def spark_step(rows: DataFrame, p: int) -> Callable[[np.ndarray | None], tuple[n
     return step
 
 
+def null_deviance(rows: DataFrame) -> float:
+    """Deviance of the intercept alone, from rows with y and w.
+
+    Its mean is the weighted mean of y, so one aggregation finds it and one more the deviance.
+    """
+    mean = rows.agg((F.sum(F.col("y") * F.col("w")) / F.sum("w")).alias("m")).first()["m"]
+    if mean is None:
+        return 0.0
+    mu, y = F.lit(min(max(float(mean), EDGE), 1 - EDGE)), F.col("y")
+    one = F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) + F.when(y < 1, (1 - y) * F.log((1 - y) / (1 - mu))).otherwise(0.0)
+    return float(rows.agg(F.sum(2 * F.col("w") * one).alias("d")).first()["d"])
+
+
 def fit(pairs: DataFrame, predictors: Sequence[str], knots: list[list[float]] | None = None, geo: bool = False, n_knots: int = 3, fixed: Model | None = None) -> Model:
     """Fit to pairs with distance, weights and s1_*, s2_* columns; rows with a null are left out.
 
@@ -234,7 +242,7 @@ def fit(pairs: DataFrame, predictors: Sequence[str], knots: list[list[float]] |
         if not n:
             raise ValueError("no complete rows to fit")
         beta, dev = iterate(spark_step(x, 1 + sum(model.splines)))
-        null = iterate(spark_step(x.withColumn("x", F.array(F.lit(1.0))).withColumn("o", F.lit(0.0)), 1))[1]
+        null = null_deviance(x)
     finally:
         x.unpersist()
     return replace(model.with_flat(beta), deviance=dev, null_deviance=null, n=n)

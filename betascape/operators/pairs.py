@@ -13,7 +13,7 @@ from betascape.functions.scalar import bray_curtis, decay, distance, gaussian_we
 from betascape.operators.prepare import near_pairs
 from betascape.sources.checkpoint import cut
 
-#: Candidates, as a multiple of the first batch, after which a sampler gives up.
+#: Candidates, as a multiple of the first batch, after which a sampler stops rejecting if it has drawn as many as there are pairs.
 BATCHES = 1000
 
 
@@ -36,11 +36,27 @@ def enumerate_pairs(sites: DataFrame) -> DataFrame:
     return a.join(b, ["a", "b"]).where("i < j").select("i", "j")
 
 
-def shared_species(comp: DataFrame, sites: DataFrame | None = None) -> DataFrame:
+def meetings(comp: DataFrame, *values: str, chunk: int = 4096) -> DataFrame:
+    """(i, j, and each value as *_1 and *_2) for each species and each pair i < j of its sites.
+
+    The sites of a species with over ``chunk`` of them are dealt out as pairs of chunks, so that a species that is
+    everywhere is met by many tasks.
+    """
+    size = comp.groupBy("species").agg(F.ceil(F.count("*") / chunk).cast("int").alias("__c"))
+    own = F.pmod(F.xxhash64("site", F.lit(7)), F.col("__c")).cast("int")
+    rows = comp.join(size, "species").withColumn("__own", own).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__c") - 1)))
+    rows = rows.withColumn("__p", F.least("__own", "__other")).withColumn("__q", F.greatest("__own", "__other"))
+    side = lambda k, n: rows.select("species", "__p", "__q", F.col("site").alias(k), F.col("__own").alias(f"__{k}"), *[F.col(v).alias(f"{v}_{n}") for v in values])
+    both = side("i", 1).join(side("j", 2), ["species", "__p", "__q"]).where("i < j")
+    # Sites of one chunk meet in each of its pairs; only that with itself counts.
+    both = both.where((F.least("__i", "__j") == F.col("__p")) & (F.greatest("__i", "__j") == F.col("__q")))
+    return both.select("i", "j", *[f"{v}_{n}" for v in values for n in (1, 2)])
+
+
+def shared_species(comp: DataFrame, sites: DataFrame | None = None, chunk: int = 4096) -> DataFrame:
     """(i, j, shared) of pairs i < j that share a species, by an equi-join on species."""
     comp = comp if sites is None else comp.join(sites.select("site"), "site", "left_semi")
-    a, b = comp.select(F.col("site").alias("i"), "species"), comp.select(F.col("site").alias("j"), "species")
-    return a.join(b, "species").where("i < j").groupBy("i", "j").agg(F.count("*").alias("shared"))
+    return meetings(comp, chunk=chunk).groupBy("i", "j").agg(F.count("*").alias("shared"))
 
 
 def pair_shared(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -78,9 +94,7 @@ def bray_curtis_presence(comp: DataFrame) -> DataFrame:
 def bray_curtis_abundance(abundance: DataFrame) -> DataFrame:
     """(site, species, n) -> Bray-Curtis of pairs that share a species: 1 - 2 sum(min) / sum."""
     total = abundance.groupBy("site").agg(F.sum("n").alias("t"))
-    a = abundance.select(F.col("site").alias("i"), "species", F.col("n").alias("n1"))
-    b = abundance.select(F.col("site").alias("j"), "species", F.col("n").alias("n2"))
-    low = a.join(b, "species").where("i < j").groupBy("i", "j").agg(F.sum(F.least("n1", "n2")).alias("low"))
+    low = meetings(abundance, "n").groupBy("i", "j").agg(F.sum(F.least("n_1", "n_2")).alias("low"))
     x = low.join(total.select(F.col("site").alias("i"), F.col("t").alias("t1")), "i").join(total.select(F.col("site").alias("j"), F.col("t").alias("t2")), "j")
     return x.select("i", "j", bray_curtis(F.col("low"), F.col("t1") + F.col("t2"), 0.0).alias("distance"))
 
@@ -166,47 +180,65 @@ def sample_pairs(
     sites: DataFrame, n_pairs: int, chance=None, per_batch: int | None = None, seed: int = 0, allow_self: bool = False,
     used: tuple[float, float, float] | None = None, trim: str = "tail",
 ) -> DataFrame:
-    """(i, j) drawn without repeats, i <= j by site number, by rejection in batches that double in size.
+    """n_pairs rows (i, j) drawn without repeats, i <= j by site number, by rejection in batches that double in size.
 
     ``chance(pairs)`` maps candidates with columns i, j, use_1 and use_2 to a Column, the probability of
     acceptance; ``used`` = (a, b, c) makes use_1 and use_2 the decay of how often a site has been used.
-    Too many are trimmed to the last ones in order of drawing (``tail``) or to random ones.
+    Too many are trimmed to the last ones in order of drawing (``tail``) or to random ones.  Where fewer pairs are possible,
+    all are taken; of pairs that are hardly ever accepted the rest is drawn in the end by weighted order.
     """
     spark = sites.sparkSession
     ids = cut(numbered(sites.select("site")))
     n_sites = ids.count()
     per_batch = per_batch or n_pairs
-    chosen, have = None, 0
+    chosen = None
     possible = n_sites * (n_sites - 1) // 2 + (n_sites if allow_self else 0)
+    if n_pairs > possible:
+        warnings.warn(f"{n_pairs} pairs are asked for, {possible} are possible", stacklevel=2)
+        n_pairs = possible
+    if not n_pairs:
+        return enumerate_pairs(sites).limit(0)
     drawn, batch, size = 0, -1, per_batch
-    while drawn < BATCHES * per_batch:
+
+    def accepted(new: DataFrame, batch: int, all_: bool = False) -> DataFrame:
+        for k, c in (("a", "i"), ("b", "j")):
+            new = new.join(ids.select(F.col("id").alias(k), F.col("site").alias(c)), k)
+        if chance is None:
+            return new.withColumn("p", F.lit(1.0))
+        if used:
+            times = None if chosen is None else chosen.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+            for k, u in (("a", "use_1"), ("b", "use_2")):
+                if times is None:
+                    new = new.withColumn(u, decay(0.0, *used))
+                else:
+                    new = new.join(times.select(F.col("id").alias(k), F.col("n").cast("double").alias(u)), k, "left").withColumn(u, decay(F.coalesce(u, F.lit(0.0)), *used))
+        new = chance(new)
+        return new if all_ else new.where(hash_uniform(seed + 1, F.col("a"), F.col("b"), F.lit(batch)) < F.col("p"))
+
+    have = 0
+    while have < n_pairs and (drawn < BATCHES * per_batch or drawn < possible):
         drawn, batch = drawn + size, batch + 1
         new = draw(spark, size, n_sites, seed, batch).groupBy("a", "b").agg(F.min("draw").alias("draw"))
         new = new if allow_self else new.where("a < b")
         if chosen is not None:
             new = new.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
-        for k, c in (("a", "i"), ("b", "j")):
-            new = new.join(ids.select(F.col("id").alias(k), F.col("site").alias(c)), k)
-        if chance is not None:
-            if used:
-                times = None if chosen is None else chosen.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
-                for k, u in (("a", "use_1"), ("b", "use_2")):
-                    if times is None:
-                        new = new.withColumn(u, decay(0.0, *used))
-                    else:
-                        new = new.join(times.select(F.col("id").alias(k), F.col("n").cast("double").alias(u)), k, "left").withColumn(u, decay(F.coalesce(u, F.lit(0.0)), *used))
-            new = chance(new).where(hash_uniform(seed + 1, F.col("a"), F.col("b"), F.lit(batch)) < F.col("p"))
-        new = new.select("a", "b", "i", "j", "draw")
+        new = accepted(new, batch).select("a", "b", "i", "j", "draw")
         chosen = cut(new if chosen is None else chosen.union(new))
         have = chosen.count()
-        if have >= min(n_pairs, possible):
-            break
         size *= 2
     if have < n_pairs:
-        warnings.warn(f"{have} pairs were found, not {n_pairs}", stacklevel=2)
+        # As many have been drawn as there are pairs: of those left the rest is drawn without rejection, weighted by their chances.
+        left = enumerate_pairs(ids.select(F.col("id").alias("site"))).select(F.col("i").alias("a"), F.col("j").alias("b"))
+        if allow_self:
+            left = left.union(ids.select(F.col("id").alias("a"), F.col("id").alias("b")))
+        left = left.join(chosen.select("a", "b"), ["a", "b"], "left_anti").withColumn("draw", F.lit(batch + 1) * F.lit(1 << 40))
+        left = accepted(left, batch + 1, True)
+        u = hash_uniform(seed + 2, F.col("a"), F.col("b"), F.lit(batch + 1))
+        order = -F.log(F.greatest(u, F.lit(1e-300))) / F.greatest(F.coalesce("p", F.lit(0.0)), F.lit(1e-300))
+        return chosen.select("i", "j").union(left.orderBy(order, "a", "b").limit(n_pairs - have).select("i", "j"))
     if have > n_pairs:
-        order = F.desc("draw") if trim == "tail" else hash_uniform(seed + 2, F.col("a"), F.col("b"))
-        chosen = chosen.orderBy(order).limit(n_pairs)
+        order = [F.desc("draw"), "a", "b"] if trim == "tail" else [hash_uniform(seed + 2, F.col("a"), F.col("b")), "a", "b"]
+        chosen = chosen.orderBy(*order).limit(n_pairs)
     return chosen.select("i", "j")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from betascape.functions.scalar import distance
+from betascape.operators.order import ranked_values
 from betascape.sources.checkpoint import cut
 
 # The quality flags of the occurrence service, and the ranks and limits of the standard filter.
@@ -172,19 +173,16 @@ def outersect(a: DataFrame, b: DataFrame) -> DataFrame:
 def null_outliers(df: DataFrame, columns: Sequence[str], reach: float = 1.5) -> DataFrame:
     """Values beyond ``reach`` hinge spreads of the hinges become null.
 
-    A hinge is the order statistic at depth floor((n + 3) / 2) / 2, halves meaning the mean of two;
-    two aggregations find the hinges of all columns.
+    A hinge is the order statistic at depth floor((n + 3) / 2) / 2, halves meaning the mean of two.  Columns without
+    values stay as they are.
     """
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    picks = []
-    for c in columns:
-        n = counts[c]
-        depth = (n + 3) // 2 / 2
-        lo = (depth - 1) / (n - 1) if n > 1 else 0.0
-        picks.append(F.percentile(F.col(c).cast("double"), F.array(F.lit(lo), F.lit(1 - lo))).alias(c))
-    hinges = df.agg(*picks).first()
-    for c in columns:
-        if hinges[c] is not None:
-            lo, hi = hinges[c]
-            df = df.withColumn(c, F.when(F.col(c).between(lo - reach * (hi - lo), hi + reach * (hi - lo)), F.col(c)))
+
+    def ranks(n: int) -> list[int]:
+        twice = (n + 3) // 2 - 2  # twice the place from 0
+        return [twice // 2, -(-twice // 2), n - 1 - -(-twice // 2), n - 1 - twice // 2]
+
+    hinges = ranked_values(df, {c: F.col(c) for c in columns}, lambda n: ranks(n) if n > 1 else [0] * 4)
+    for c, (a, b, x, y) in hinges.items():
+        lo, hi = (a + b) / 2, (x + y) / 2
+        df = df.withColumn(c, F.when(F.col(c).between(lo - reach * (hi - lo), hi + reach * (hi - lo)), F.col(c)))
     return df

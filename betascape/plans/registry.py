@@ -143,7 +143,16 @@ def nearest_cell_assign(spark, sf):
     return prepare.nearest_kept(cells, kept, 1.5).select("cell", "target")
 
 
-@query()
+STAY = f"""s AS (SELECT a.cell, a.x, a.y, a.n_records, sum(b.n_records) AS total FROM cells a JOIN cells b ON {NEAR} <= {RADIUS} GROUP BY 1, 2, 3, 4),
+  o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY total DESC, n_records DESC, CAST(cell AS VARCHAR)) AS k FROM s),
+  g(k, kept) AS (SELECT 0::BIGINT, []::STRUCT(x DOUBLE, y DOUBLE, cell BIGINT, k BIGINT)[] UNION ALL SELECT o.k,
+    CASE WHEN len(list_filter(kept, lambda z: sqrt((z.x - o.x) * (z.x - o.x) + (z.y - o.y) * (z.y - o.y)) <= {RADIUS})) > 0 THEN kept
+      ELSE list_append(kept, {{'x': o.x, 'y': o.y, 'cell': CAST(o.cell AS BIGINT), 'k': o.k}}) END FROM g JOIN o ON o.k = g.k + 1),
+  f AS (SELECT unnest(kept, recursive := true) FROM g WHERE k = (SELECT count(*) FROM cells)),
+  p AS (SELECT a.cell, b.cell AS target, row_number() OVER (PARTITION BY a.cell ORDER BY {NEAR}, b.k) AS r FROM cells a JOIN f b ON {NEAR} < {RADIUS})"""
+
+
+@query(f"WITH RECURSIVE {CELLS}, {STAY} SELECT c.cell, c.n_records, coalesce(p.target, c.cell) AS target FROM cells c LEFT JOIN p ON p.cell = c.cell AND p.r = 1")
 def greedy_aggregate(spark, sf):
     return prepare.aggregate_cells(numbered_cells(spark, sf), RADIUS).select("cell", "n_records", "target")
 
@@ -163,9 +172,10 @@ def table_facts(spark, sf):
     return occ_io.table_facts(t(spark, sf, "customer"), "c_acctbal")
 
 
-@query("SELECT c_custkey AS site FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS site FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def remaining_downloads(spark, sf):
-    return occ_io.remaining(t(spark, sf, "customer").select(F.col("c_custkey").alias("site")), t(spark, sf, "orders").select(F.col("o_custkey").alias("site")), "site")
+    done = t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("site"))
+    return occ_io.remaining(t(spark, sf, "customer").select(F.col("c_custkey").alias("site")), done, "site")
 
 
 @query("""WITH a AS (SELECT DISTINCT l_suppkey % 7 * 10 + l_linenumber AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 30),
@@ -484,16 +494,22 @@ def backward_elimination(spark, sf):
 
 @query()
 def significance(spark, sf):
-    found = [select.significance(pair_inputs(spark, sf), MODEL, p, 9) for p in MODEL.predictors]
+    found = [select.significance(pair_inputs(spark, sf), MODEL, p) for p in MODEL.predictors]
     return spark.createDataFrame([(p, *map(float, f.values())) for p, f in zip(MODEL.predictors, found, strict=True)], "predictor string, d2 double, p double, least_gain double, largest_gain double")
 
 
 @query()
 def gdm_builder(spark, sf):
-    b = select.build(sites(spark, sf), composition(spark, sf), MODEL.predictors, folds=2, n_pairs=400, geo=True, threshold=0.9, least_d2=-1e9)
+    b = select.build(sites(spark, sf), composition(spark, sf), MODEL.predictors, geo=True, threshold=0.9, least_d2=-1e9)
     return spark.createDataFrame([(k, float(c)) for k, c in enumerate(b.model.flat())], "term int, coefficient double").withColumn("predictors", F.lit(",".join(b.model.predictors)))
 
 
+@query()
+def gdm_single_model(spark, sf):
+    b = select.build_single(sites(spark, sf), composition(spark, sf), MODEL.predictors)
+    return spark.createDataFrame([(k, float(c)) for k, c in enumerate(b.model.flat())], "term int, coefficient double").withColumn("explained", F.lit(round(b.model.explained, 6)))
+
+
 # --- grids and after ---------------------------------------------------------------------------
 
 
@@ -663,9 +679,16 @@ def knn_class_probability(spark, sf):
     return rounded(grids.class_probability(grids.nearest(vectors(spark, sf), training(spark, sf), 10), 0.5), "p", digits=5)
 
 
-@query()
+@query("""WITH n AS (SELECT a.vec_id AS id, a.label = b.label AS same, b.vec_id AS tid, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: abs(CAST(a.embedding[k] AS DOUBLE) - b.embedding[k]))) AS dist
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+  k AS (SELECT id, same, dist, row_number() OVER (PARTITION BY id ORDER BY round(dist, 9), tid) AS rank FROM n QUALIFY rank <= 100),
+  s AS (SELECT least(100, count(*) - 1) AS top, count(*) AS c FROM embeddings), j AS (SELECT unnest(range(least(30, top), top + 1)) AS j FROM s), r AS (SELECT range / 10 AS r FROM range(1, 10)),
+  m AS (SELECT id, j, avg(dist) AS m FROM k JOIN j ON rank <= j GROUP BY 1, 2),
+  w AS (SELECT id, j, r, same, exp(-dist * dist / (2 * (m * r) * (m * r))) AS w FROM k JOIN m USING (id) JOIN r ON true WHERE rank <= j),
+  p AS (SELECT id, j, r, coalesce(sum(w) FILTER (WHERE same), 0) / sum(w) AS p FROM w GROUP BY 1, 2, 3)
+  SELECT CAST(j AS INTEGER) AS j, r::DOUBLE AS r, round(sum((1 - p) * (1 - p)) / j, 6) AS score FROM p GROUP BY 1, 2, j""")
 def best_jr(spark, sf):
-    return grids.best_jr(training(spark, sf), [5, 10, 20], [0.2, 0.5])[2]
+    return rounded(grids.best_jr(training(spark, sf))[2], "score")
 
 
 @query(f"WITH {GRID} SELECT segment AS zone, count(balance) AS n_cells, round(sum(balance), 4) AS total, round(avg(balance), 6) AS mean FROM grid GROUP BY 1")
@@ -732,7 +755,11 @@ def decay_and_gaussian_weights(spark, sf):
     return t(spark, sf, "orders").select("o_orderkey", F.round(fn.decay(p, 0.05, 50000.0, 3), 6).alias("w"), F.round(fn.gaussian_weight(p, 100000.0), 6).alias("g"))
 
 
-@query()
+@query(f"""WITH {GRID}, c AS (SELECT row, col, balance AS x, nation AS y FROM grid WHERE balance IS NOT NULL AND nation IS NOT NULL),
+  s AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS d FROM c),
+  e AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) * ((a - d) / 2) + b * b) - d AS u FROM s), v AS (SELECT *, sqrt(u * u + b * b) AS z FROM e),
+  q AS (SELECT row, col, ((x - mx) * u + (y - my) * b) / z AS p1, ((y - my) * u - (x - mx) * b) / z AS p2 FROM c, v)
+  SELECT row, col, round((p1 - min(p1) OVER ()) / (max(p1) OVER () - min(p1) OVER ()) * 255, 4) AS pc1, round((p2 - min(p2) OVER ()) / (max(p2) OVER () - min(p2) OVER ()) * 255, 4) AS pc2 FROM q""")
 def pca_rgb(spark, sf):
     return rounded(grids.pca_rgb(grid(spark, sf), ["balance", "nation"]), "pc1", "pc2", digits=4)
 
@@ -754,3 +781,6 @@ def nearest_centres(spark, sf):
 @query("SELECT label, least(count(*), 20) AS n FROM embeddings GROUP BY label")
 def balanced_sample(spark, sf):
     return cluster.balanced_sample(vectors(spark, sf), "label", 20, "id").groupBy("label").agg(F.count("*").alias("n"))
+
+
+from betascape.plans import core  # noqa: E402, F401  registers its queries here

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from betascape.operators import assess, grids, model, pairs, prepare, select
+from betascape.operators import assess, grids, model, order, pairs, prepare, select
 from betascape.sources import grid as g
 from betascape.sources import occurrences as occ
 from betascape.streaming import ingest
@@ -189,6 +189,111 @@ def test_two_epochs_and_neighbours(spark):
     assert scores.count() == 4 and scores.orderBy("score").first().j == j
 
 
+def test_density_and_impact_block_by_block(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(700, 2))
+    rows = [(i // 20, i % 20, None if i % 50 == 7 else float(a), float(b)) for i, (a, b) in enumerate(v)]
+    cells = spark.createDataFrame(rows, "row int, col int, a double, b double")
+    sample = cells.where("col % 3 = 0")
+    held = [r for r in rows if r[1] % 3 == 0 and r[2] is not None]
+    for block in (20_000, 50):
+        got = {(r.row, r.col): r.density for r in grids.density(cells, sample, ["a", "b"], 0.5, block=block).collect()}
+        for row, col, a, b in rows[::37] + [rows[7]]:
+            want = None if a is None else 2 * sum(np.exp(-abs(a - x) - abs(b - y)) for _, _, x, y in held)
+            assert got[row, col] == want or abs(got[row, col] - want) < 1e-9
+        assert len(got) == 700
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, None, 1.0)], "point long, a double, b double")
+    out = {r.point: r for r in grids.impact(cells, cells.withColumn("a", F.col("a") + 1), points, ["a", "b"]).collect()}
+    known = [r for r in rows if r[2] is not None]
+    d0, d1 = (1 - np.exp(-min(abs(a + k) + abs(b) for _, _, a, b in known)) for k in (0, 1))
+    assert abs(out[1].d0 - d0) < 1e-12 and abs(out[1].difference - (d1 - d0)) < 1e-12 and out[2].d0 is None
+    none = grids.density(cells.limit(0), sample, ["a", "b"], 0.5)
+    assert none.count() == 0
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(k) if k else None, float(v)) for k, v in zip(rng.integers(0, 4, 500), rng.integers(0, 60, 500), strict=True)]
+    df = spark.createDataFrame([*rows, (1, None)], "k int, v double").repartition(7)
+    got = {r.k: r.q for r in order.quantiles(df, ["k"], "v", (0.0, 0.25, 0.5, 1.0)).collect()}
+    for k in {k for k, _ in rows}:
+        assert np.allclose(got[k], np.quantile([v for a, v in rows if a == k], (0.0, 0.25, 0.5, 1.0)))
+    whole = sorted(v for _, v in rows)
+    ranks = [0, 7, 250, 499]
+    assert order.ranked_values(df, {"v": F.col("v"), "none": F.lit(None)}, lambda n: ranks) == {"v": [whole[r] for r in ranks]}
+    counts = order.sorted_counts(df, [], "v").collect()
+    assert all(r.start == sum(v < r.v for v in whole) and r.n == whole.count(r.v) for r in counts)
+    assert order.quantiles(df.limit(0), [], "v", (0.5,)).first().q == [None] and order.quantiles(df.limit(0), ["k"], "v", (0.5,)).count() == 0
+
+
+def test_hot_species_meet_in_chunks(spark):
+    comp = spark.createDataFrame([(s, k) for s in range(40) for k in range(s % 5 + 1)], "site long, species long")
+    want = sorted(map(tuple, pairs.shared_species(comp).collect()))
+    assert sorted(map(tuple, pairs.shared_species(comp, chunk=7).collect())) == want
+    assert len(want) == 40 * 39 // 2 and all(n == min(i % 5, j % 5) + 1 for i, j, n in want)
+
+
+def test_samplers_give_all_that_is_asked(spark):
+    sites, _, _ = planted(spark, 12)
+    never = lambda new: new.withColumn("p", F.when((F.col("i") == 0) | (F.col("j") == 0), 0.9).otherwise(1e-9))
+    got = [tuple(r) for r in pairs.sample_pairs(sites, 20, never, 2).collect()]
+    assert len(set(got)) == len(got) == 20 and sum(0 in p for p in got) == 11
+    assert pairs.sample_random(sites, 66).count() == 66
+    with pytest.warns(UserWarning):
+        assert pairs.sample_random(sites, 100).distinct().count() == 66
+    assert pairs.sample_random(sites.limit(1), 5).count() == 0
+
+
+def plain_scores(rows, columns):
+    """D2 of training and test rows, and errors, fitted by the local steps."""
+    x, y, w, test = (np.array(v) for v in zip(*rows, strict=True))
+    x = x[:, columns]
+    one = np.ones((len(y), 1))
+    beta, dev = model.fit_local(x[~test], y[~test], w[~test])
+    null, base = model.fit_local(one[~test], y[~test], w[~test])[1], model.fit_local(one[test], y[test], w[test])[1]
+    mu = np.clip(1 - np.exp(-(x[test] @ beta)), model.EDGE, 1 - model.EDGE)
+    return (null - dev) / null * 100, (base - model.deviance_of(y[test], mu, w[test])) / base * 100, np.sqrt(np.mean((mu - y[test]) ** 2))
+
+
+def test_candidates_fitted_side_by_side(spark):
+    _, p, _ = planted(spark, 30)
+    noisy = p.withColumn("distance", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("distance") + F.sin(F.col("i") * 7.0 + F.col("j")) / 20)))
+    folds = noisy.withColumn("fold", F.explode(F.array(F.lit(3), F.lit(5)))).withColumn("is_test", (F.col("i") + F.col("j") + F.col("fold")) % 3 == 0)
+    folds = folds.withColumn("s1_c", F.when(F.col("i") != 4, F.col("s1_c")))
+    m = model.Model(["a", "b", "c"], [[0.0, 0.5, 1.0]] * 3, [])
+    got = {(r.fold, r.candidate): r for r in select.score_candidates(folds, m, {"ab": [0, 1], "c": [2]}).collect()}
+    x = folds.select("fold", "is_test", "distance", "weights", F.array(*model.design_columns(m)).alias("x")).collect()
+    for fold in (3, 5):
+        for name, at in (("ab", [0, *range(1, 7)]), ("c", [0, 7, 8, 9])):
+            rows = [(r.x, r.distance, r.weights, r.is_test) for r in x if r.fold == fold and (name == "ab" or None not in r.x)]
+            rows = [([v if v is not None else 0.0 for v in r[0]], *r[1:]) for r in rows]
+            r = got[fold, name]
+            assert np.allclose([r.train_d2, r.test_d2, r.rmse], plain_scores(rows, at), rtol=1e-6, atol=1e-9)
+
+
+def test_single_model_build(spark):
+    sites, _, _ = planted(spark, 40)
+    env = {r.site: r.a for r in sites.collect()}
+    comp = spark.createDataFrame([(s, k) for s, a in env.items() for k in range(40) if abs(k / 40 - a) < 0.35], "site long, species long")
+    b = select.build_single(sites, comp, ["a", "c"], folds=2, n_pairs=200, geo=True)
+    assert b.model.geo and b.model.predictors == ["a", "c"] and len(b.models) == 2
+    assert len(b.tests) == len(b.random_tests) == 2 and b.tests.test_d2.mean() > 30
+    assert np.allclose(b.model.intercept, np.mean([m.intercept for m in b.models]))
+    assert len(b.observed) == 2 and b.observed["min"].between(0, 1).all() and b.observed.evenness.between(0, 1).all()
+
+
+def test_screening_leaves_outliers_out(spark, monkeypatch):
+    sites, _, _ = planted(spark, 40)
+    wild = sites.withColumn("a", F.when(F.col("site") == 3, 1e6).otherwise(F.col("a")))
+    env = {r.site: r.a for r in sites.collect()}
+    comp = spark.createDataFrame([(s, k) for s, a in env.items() for k in range(40) if abs(k / 40 - a) < 0.35], "site long, species long")
+    seen = []
+    plain = select.screen
+    monkeypatch.setattr(select, "screen", lambda table, m: seen.append((table.where("NOT is_test").agg(F.max("s1_a")).first()[0], m.knots[0][-1])) or plain(table, m))
+    select.build(wild, comp, ["a", "c"], folds=2, n_pairs=200)
+    assert seen[0][0] < 10 and seen[0][1] < 10
+
+
 def test_whole_build(spark):
     sites, _, _ = planted(spark, 40)
     rng = np.random.default_rng(5)
