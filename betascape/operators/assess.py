@@ -1,4 +1,8 @@
-"""Measures of fits and of samples: deviance, errors, binned errors, evenness, summaries."""
+"""Measures of fits and of samples: deviance, errors, binned errors, evenness, summaries.
+
+Cases: rows with a null in what is measured are left out; values on an edge are in the bin below; of empty tables counts are 0,
+all else null; the evenness of less than two numbers, or of zeros, is null, and so is a correlation with a constant.
+"""
 
 from __future__ import annotations
 

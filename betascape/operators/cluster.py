@@ -1,6 +1,9 @@
 """Classification of samples on the driver and of all cells in Spark.
 
 Samples (cluster centres, trees, ordinations) are of a size that a parameter sets; cells are not.
+
+Cases: an empty sample gives no classes, centres or points, and then no row is classified; asking for more classes than the
+sample has rows gives one a row; ties go to the first; rows without a vector are in no class.
 """
 
 from __future__ import annotations
@@ -75,6 +78,7 @@ def linkage(distance: np.ndarray, method: str = "average", x: np.ndarray | None
 def cut_tree(merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
     """Class (0..k-1, in order of the first member) of each leaf of a tree cut into k."""
     n = len(merges) + 1
+    k = min(max(k, 1), n)
     root = list(range(2 * n - 1))
 
     def find(i: int) -> int:
@@ -91,6 +95,8 @@ def cut_tree(merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
 
 def k_clusters(x: np.ndarray, k: int, centre: str = "mean", metric: str = "cityblock", rounds: int = 100, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(classes, centres) of k-means, k-medians (``median``) or k-medoids (``medoid``)."""
+    if not len(x):
+        return np.empty(0, int), np.empty((0, x.shape[1] if x.ndim > 1 else 0))
     pick = [int(np.random.default_rng(seed).integers(len(x)))]
     while len(pick) < min(k, len(x)):  # farthest first
         d = np.abs(x[:, None] - x[pick][None]).sum(2).min(1)
@@ -151,6 +157,8 @@ def to_rgb(x: np.ndarray) -> np.ndarray:
 
 def farthest_first(x: np.ndarray, limit: float = 3.0, start: int = 0) -> list[int]:
     """Demand points: the farthest row from those chosen, until none is farther than the limit (L1)."""
+    if not len(x):
+        return []
     chosen, d = [start], np.abs(x - x[start]).sum(1)
     while d.max() > limit:
         chosen.append(int(d.argmax()))
@@ -171,7 +179,9 @@ def subsample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
 
 
 def assign(rows: DataFrame, centres: np.ndarray, vector: str = "v") -> DataFrame:
-    """Class and L1 distance of the nearest centre, as one expression; centres are few."""
+    """Class and L1 distance of the nearest centre, as one expression; centres are few, and without any both are null."""
+    if not len(centres):
+        return rows.withColumn("class", F.lit(None).cast("int")).withColumn("class_distance", F.lit(None).cast("double"))
     each = [F.struct(manhattan(F.col(vector), F.array(*[F.lit(float(x)) for x in c])).alias("distance"), F.lit(k).alias("class")) for k, c in enumerate(centres)]
     best = F.array_min(F.array(*each))
     return rows.withColumn("__b", best).select("*", F.col("__b.class").alias("class"), F.col("__b.distance").alias("class_distance")).drop("__b")
@@ -182,7 +192,9 @@ def classify(rows: DataFrame, sample: DataFrame, k: int, key: str = "id", vector
 
     The legend has each class's size in the sample and its colour, from principal coordinates of class means.
     """
-    held = sample.select(key, vector).orderBy(key).toPandas()
+    held = sample.where(F.col(vector).isNotNull()).select(key, vector).orderBy(key).toPandas()
+    if not len(held):
+        return rows.limit(0).select(key, F.lit(None).cast("int").alias("class")), []
     x = np.array(held[vector].to_list(), float)
     classes = cut_tree(linkage(distance_matrix(x, metric), method, x), k)
     means = np.stack([x[classes == c].mean(0) for c in range(classes.max() + 1)])

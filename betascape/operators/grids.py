@@ -1,4 +1,9 @@
-"""Raster cells as rows (row, col, one column per layer): lookups, transforms, change, classes, density."""
+"""Raster cells as rows (row, col, one column per layer): lookups, transforms, change, classes, density.
+
+Cases: (row, col) is distinct; a null in a layer gives a null in all that needs it, and no distance; points outside have null
+layers; neighbours at one distance come by their id; rows without a vector have no neighbours; empty tables give empty results,
+and a grid's range, or principal component, of one value is 0.
+"""
 
 from __future__ import annotations
 
@@ -360,6 +365,8 @@ def pca_rgb(cells: DataFrame, layers: Sequence[str], sample: int = 200_000, seed
     """
     rows = cells.dropna("any", subset=list(layers))
     n = rows.count()
+    if not n:
+        return rows.select("row", "col", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(min(3, len(layers)))])
     part = rows.where(F.pmod(F.xxhash64("row", "col", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n))))
     stats = part.agg(*[F.avg(c).alias(f"m_{c}") for c in layers], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in layers for b in layers]).first()
     cov = np.nan_to_num(np.array([[stats[f"c_{a}_{b}"] for b in layers] for a in layers], float))

@@ -2,6 +2,9 @@
 
 One pass of the data per iteration gives the normal equations: each task sums its rows' Gram
 matrix, Spark adds the sums entry by entry, and the driver solves a p x p non-negative problem.
+
+Cases: rows with a null in a column that a fit uses are left out, and predictions of such rows are null; a fit without
+complete rows is an error; predictors of one value get equal knots and a flat curve; repeated rows count each for itself.
 """
 
 from __future__ import annotations

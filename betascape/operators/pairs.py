@@ -1,4 +1,9 @@
-"""Site pairs: enumeration, shared species, dissimilarities, attributes, and the samplers."""
+"""Site pairs: enumeration, shared species, dissimilarities, attributes, and the samplers.
+
+Cases: sites are distinct, compositions have distinct rows (``with_richness`` counts rows); a null site or species meets none;
+sites without species have richness 0 and, two of them, a null dissimilarity; attributes of missing sites are null; chances
+that are null accept no pair; tables of less than two sites give no pairs.
+"""
 
 from __future__ import annotations
 

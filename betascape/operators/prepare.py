@@ -1,6 +1,10 @@
 """Occurrence records to cells: quality filters, snapping, counts, neighbourhoods.
 
 All steps are lazy but the greedy aggregation, which runs rounds over checkpoints.
+
+Cases: nulls in a tested column fail the test; points without a coordinate meet nobody and are in no cell; repeated
+records count each for itself, but once in a composition; ties go to the first in the order named; empty tables give
+empty results.
 """
 
 from __future__ import annotations

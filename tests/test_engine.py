@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from betascape.operators import assess, grids, model, order, pairs, prepare, select
+from betascape.operators import assess, cluster, grids, model, order, pairs, prepare, select
 from betascape.sources import grid as g
 from betascape.sources import occurrences as occ
 from betascape.streaming import ingest
@@ -294,6 +294,32 @@ def test_screening_leaves_outliers_out(spark, monkeypatch):
     assert seen[0][0] < 10 and seen[0][1] < 10
 
 
+def test_empty_tables_and_odd_values(spark, tmp_path):
+    sites, p, truth = planted(spark, 6)
+    none = p.limit(0)
+    with pytest.raises(ValueError):
+        model.fit(none, ["a"], [truth.knots[0]])
+    assert model.predict(none, truth).count() == 0 and pairs.sample_random(sites.limit(0), 5).count() == 0
+    found = select.significance(none, truth, "a", 3)
+    assert found["p"] == 0.0 or found["p"] != found["p"]
+    v = spark.createDataFrame([(1, [0.0, 1.0]), (2, [3.0, 1.0]), (3, None)], "id long, v array<double>")
+    assert cluster.classify(v, v.limit(0), 3)[0].count() == 0 and cluster.farthest_first(np.empty((0, 2))) == []
+    assert cluster.assign(v, cluster.k_clusters(np.empty((0, 2)), 2)[1]).where("class IS NOT NULL").count() == 0
+    classes, legend = cluster.classify(v, v, 5)
+    assert sorted((r.id, r["class"]) for r in classes.collect()) == [(1, 0), (2, 1)] and len(legend) == 2
+    cells = spark.createDataFrame([(0, 0, None, 1.0)], "row int, col int, a double, b double")
+    assert grids.pca_rgb(cells, ["a", "b"]).count() == 0 and grids.density(cells, cells, ["a", "b"], 1.0).first().density is None
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, 3.0), (None, 4.0)], "distance double, predicted double")
+    assert assess.error_metrics(flat).first()["corr"] is None and assess.correlations(flat, ["distance", "predicted"]).first().r is None
+    assert assess.six_numbers(flat.limit(0), "distance").first().median is None
+    h = g.Header(3, 5, 0.0, 0.0, 1.0)
+    odd = spark.createDataFrame([(0, 1, 2.5), (4, 2, float("nan")), (4, 0, None), (9, 9, 1.0), (-1, 0, 1.0), (3, 0, 7.0)], "row int, col int, value double")
+    assert g.write_grid_parts(odd, h, str(tmp_path / "parts"), rows_per_part=2) == 3
+    back = {(r.row, r.col): r.value for r in g.read_grid_parts(spark, str(tmp_path / "parts")).collect()}
+    assert len(back) == 15 and {k: x for k, x in back.items() if x is not None} == {(0, 1): 2.5, (3, 0): 7.0}
+    assert g.write_grid_parts(odd.limit(0), h, str(tmp_path / "parts")) == 1
+
+
 def test_whole_build(spark):
     sites, _, _ = planted(spark, 40)
     rng = np.random.default_rng(5)
