@@ -29,10 +29,10 @@ RULES: dict[str, str] = {
     "long_words": "word_chars > 25 * n_words",
 }
 
-#: name -> version -> the rules that it applies.
+#: name -> version -> the rules that it applies; the last version holds unless one is named.
 POLICIES: dict[str, dict[int, tuple[str, ...]]] = {
     "base": {1: ("few_words", "repeated_windows")},
-    "corpus": {1: tuple(RULES)},
+    "corpus": {1: ("few_words", "repeated_windows", "symbols", "repeated_lines"), 2: tuple(RULES)},
 }
 
 

@@ -26,12 +26,13 @@ def test_measures(documents, odd):
 
 def test_policies_and_ablation_read_the_ledger(documents, odd):
     rows = q.ledger(documents.select("doc_id", "text").union(odd.select("doc_id", "text"))).cache()
-    for name in q.POLICIES:
-        kept = {r.kept: r["count"] for r in q.apply_policy(rows, name).groupBy("kept").count().collect()}
-        m = q.policy_mask(name)
+    assert q.policy_mask("corpus") == q.policy_mask("corpus", 2) != q.policy_mask("corpus", 1)
+    for name, version in [(n, v) for n, versions in q.POLICIES.items() for v in versions]:
+        kept = {r.kept: r["count"] for r in q.apply_policy(rows, name, version).groupBy("kept").count().collect()}
+        m = q.policy_mask(name, version)
         bits = [r.failed_bits & m for r in rows.collect()]
         assert kept.get(True, 0) == sum(b == 0 for b in bits)
-        for r in q.ablation(rows, name).collect():
+        for r in q.ablation(rows, name, version).collect():
             k = q.mask((r.rule,))
             assert (r.n_failed, r.n_only, r.n_kept_without) == (sum(b & k > 0 for b in bits), sum(b == k for b in bits), sum(b & ~k == 0 for b in bits))
 
