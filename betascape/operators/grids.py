@@ -281,6 +281,22 @@ def class_probability(near: DataFrame, r: float) -> DataFrame:
     return rows.select("id", "label", F.when(total > 0, F.col("w") / total).otherwise(0.0).alias("p"))
 
 
+def masked(rows: DataFrame, mask: DataFrame, keys: Sequence[str] = ("id",)) -> DataFrame:
+    """Rows whose keys the mask has; a mask may name a key twice."""
+    return rows.join(mask.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def probability_change(first: DataFrame, second: DataFrame, training: DataFrame, k: int, r: float) -> DataFrame:
+    """(id, label, p0, p1, difference): class probabilities of rows in two epochs, 0 where an epoch's neighbours have no such class.
+
+    Rows of one epoch alone are left out.
+    """
+    both = first.select("id").join(second.select("id"), "id", "left_semi").distinct()
+    sides = [class_probability(nearest(masked(e, both), training, k), r).withColumnRenamed("p", f"p{n}") for n, e in enumerate((first, second))]
+    p = lambda n: F.coalesce(f"p{n}", F.lit(0.0))
+    return sides[0].join(sides[1], ["id", "label"], "full_outer").select("id", "label", p(0).alias("p0"), p(1).alias("p1"), (p(1) - p(0)).alias("difference"))
+
+
 def best_jr(training: DataFrame, js: Sequence[int] | None = None, rs: Sequence[float] | None = None, objective: str = "compat") -> tuple[int, float, DataFrame]:
     """(J, R) whose leave-one-out class probabilities score best, and all scores.
 

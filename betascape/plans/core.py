@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from betascape.functions import scalar as fn
-from betascape.operators import assess, cluster, grids, model, pairs, prepare, select
+from betascape.operators import assess, cluster, grids, model, order, pairs, prepare, select
 from betascape.plans.fixtures import COMP, GRID, GRID_MODEL, MODEL, OCC, PAIRS, SITES, SIZE, composition, grid, header, occurrences, pair_inputs, sites, t, vectors
 from betascape.plans.registry import folds_of, query, rounded, transform_sql
 from betascape.sources import grid as grid_io
@@ -249,3 +249,65 @@ def transformed_points(spark, sf):
     rows = grids.transform_points(at, grid(spark, sf), h, GRID_MODEL, "Clamped")
     return rounded(rows.select("id", "balance", "nation"), "balance", "nation", digits=9)
 
+
+@query("SELECT DISTINCT c_mktsegment AS name, 'data/' || c_mktsegment || '/' AS path, 'data/' || c_mktsegment || '/' AS again FROM customer")
+def folder_paths(spark, sf):
+    df = t(spark, sf, "customer").select(F.col("c_mktsegment").alias("name")).distinct()
+    path = fn.folder(F.concat(F.lit("data/"), F.col("name")))
+    return df.select("name", path.alias("path"), fn.folder(path).alias("again"))
+
+
+RECORDS = "SELECT c_custkey AS \"occurrenceID\", {name} AS \"scientificName\", 'species' AS \"taxonRank\", '1999' AS \"eventDate\", 1.0::DOUBLE AS \"decimalLatitude\", c_acctbal AS \"decimalLongitude\", 10.0::DOUBLE AS \"coordinateUncertaintyInMeters\" FROM customer"
+
+
+@query(RECORDS.format(name="c_mktsegment") + " UNION ALL " + RECORDS.format(name="c_name"))
+def record_columns(spark, sf):
+    """With the epithet, which stands for the name, and without it."""
+    c = t(spark, sf, "customer")
+    rows = c.select(
+        F.col("c_custkey").alias("occurrenceID"), F.col("c_name").alias("scientificName"), F.col("c_mktsegment").alias("specificEpithet"), F.lit("species").alias("taxonRank"), F.lit("1999").alias("eventDate"),
+        F.lit(1.0).alias("decimalLatitude"), F.col("c_acctbal").alias("decimalLongitude"), F.lit(10.0).alias("coordinateUncertaintyInMeters"), F.lit(0).alias("other"),
+    )
+    return prepare.select_record_columns(rows).union(prepare.select_record_columns(rows.drop("specificEpithet")))
+
+
+PERCENTS = (0, 25, 50, 90, 100)
+
+
+@query(f"""WITH {SITES}, s AS (SELECT list_sort(list(acctbal)) AS v, count(*) AS n FROM sites), p AS (SELECT unnest({list(PERCENTS)}) AS p),
+  r AS (SELECT p, v, CASE WHEN p = 0 THEN 0 WHEN p = 100 THEN n - 1 WHEN fmod(n::DOUBLE, p / 100) < 0.5 THEN floor(n * (p / 100)) ELSE least(n - 1, ceil(n * (p / 100))) END AS r FROM s, p)
+  SELECT p::BIGINT AS percent, round(v[CAST(r AS BIGINT) + 1], 6) AS value FROM r""")
+def knots_by_percentage(spark, sf):
+    found = order.ranked_values(sites(spark, sf), {"acctbal": F.col("acctbal")}, lambda n: [model.percentile_rank(n, p) for p in PERCENTS])["acctbal"]
+    return spark.createDataFrame([(p, round(v, 6)) for p, v in zip(PERCENTS, found, strict=True)], "percent long, value double")
+
+
+@query("SELECT 'c_custkey' AS name, count(*) AS n, true AS is_number, false AS has_fraction FROM customer UNION ALL SELECT 'c_name', count(*), false, false FROM customer UNION ALL SELECT 'c_acctbal', count(*), true, bool_or(c_acctbal <> floor(c_acctbal)) FROM customer")
+def column_kinds(spark, sf):
+    return occ_io.column_kinds(t(spark, sf, "customer"), ["c_custkey", "c_name", "c_acctbal"])
+
+
+def probability_sql(name: str, shift: str, where: str = "true") -> str:
+    dist = f"list_sum(list_transform(range(1, len(a.embedding) + 1), lambda k: abs(CAST(a.embedding[k] AS DOUBLE) + {shift} - b.embedding[k])))"
+    return f"""n_{name} AS (SELECT a.vec_id AS id, b.label, b.vec_id AS tid, {dist} AS dist FROM embeddings a, embeddings b WHERE {where}),
+  k_{name} AS (SELECT * FROM n_{name} QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(dist, 9), tid) <= 10),
+  w_{name} AS (SELECT id, label, exp(-dist * dist / (2 * (avg(dist) OVER (PARTITION BY id) * 0.5) * (avg(dist) OVER (PARTITION BY id) * 0.5))) AS w FROM k_{name}),
+  p_{name} AS (SELECT id, label, sum(w) / sum(sum(w)) OVER (PARTITION BY id) AS p FROM w_{name} GROUP BY 1, 2)"""
+
+
+def learned(spark, sf):
+    return vectors(spark, sf).select(F.col("id").alias("tid"), "label", "v")
+
+
+@query(f"WITH {probability_sql('m', '0.0::DOUBLE', 'a.vec_id % 3 = 0')} SELECT id, label, round(p, 5) AS p FROM p_m")
+def knn_masked_probability(spark, sf):
+    v = vectors(spark, sf)
+    near = grids.nearest(grids.masked(v, v.where("id % 3 = 0")), learned(spark, sf), 10)
+    return rounded(grids.class_probability(near, 0.5), "p", digits=5)
+
+
+@query(f"WITH {probability_sql('a', '0.0::DOUBLE')}, {probability_sql('b', '0.05::DOUBLE')} SELECT id, label, round(coalesce(p_a.p, 0), 5) AS p0, round(coalesce(p_b.p, 0), 5) AS p1, round(coalesce(p_b.p, 0) - coalesce(p_a.p, 0), 5) AS difference FROM p_a FULL JOIN p_b USING (id, label)")
+def knn_probability_change(spark, sf):
+    v = vectors(spark, sf)
+    later = v.withColumn("v", F.transform("v", lambda x: x + 0.05))
+    return rounded(grids.probability_change(v, later, learned(spark, sf), 10, 0.5), "p0", "p1", "difference", digits=5)

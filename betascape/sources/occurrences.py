@@ -90,3 +90,14 @@ def table_facts(df: DataFrame, column: str) -> DataFrame:
     """Rows, columns and the range of one column."""
     c = F.col(column).cast("double")
     return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.min(c).alias("min"), F.max(c).alias("max"))
+
+
+def column_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(name, n, is_number, has_fraction) of columns, from their values: whether all that are there are numbers, and whether any
+    has a fraction; of a column without values both are false."""
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("text")) for c in columns])).alias("x")).select("x.*")
+    number = F.expr("try_cast(text AS double)")
+    some = rows.where("text IS NOT NULL").groupBy("name").agg(F.count("*").alias("n"), F.bool_and(number.isNotNull()).alias("is_number"), F.coalesce(F.bool_or(number != F.floor(number)), F.lit(False)).alias("has_fraction"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "name string")
+    no = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return names.join(some, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), no("is_number"), no("has_fraction"))
