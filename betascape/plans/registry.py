@@ -714,14 +714,14 @@ def site_by_species_abundance(spark, sf):
     return grids.site_by_species(abundance(spark, sf), range(1, 6), "n")
 
 
-@query(f"WITH {COMP} SELECT site, map_from_entries(list(row(species, 1) ORDER BY species)) AS species FROM comp GROUP BY 1")
+@query(f"WITH {COMP} SELECT site, species, 1 AS n FROM comp")
 def site_by_all_species(spark, sf):
-    return grids.site_by_species(composition(spark, sf))
+    return grids.site_by_species(composition(spark, sf)).select("site", F.explode("species").alias("species", "n"))
 
 
-@query("WITH ab AS (SELECT l_suppkey AS site, l_partkey AS species, sum(l_quantity)::DOUBLE AS n FROM lineitem GROUP BY 1, 2) SELECT site, map_from_entries(list(row(species, n) ORDER BY species)) AS species FROM ab GROUP BY 1")
+@query("SELECT l_suppkey AS site, l_partkey AS species, sum(l_quantity)::DOUBLE AS n FROM lineitem GROUP BY 1, 2")
 def site_by_all_species_abundance(spark, sf):
-    return grids.site_by_species(abundance(spark, sf), abundance="n")
+    return grids.site_by_species(abundance(spark, sf), abundance="n").select("site", F.explode("species").alias("species", "n"))
 
 
 @query(f"""WITH {GRID}, m AS (SELECT row, col, balance IS NOT NULL AS f, col - row_number() OVER (PARTITION BY row, balance IS NOT NULL ORDER BY col) AS g FROM grid)

@@ -36,10 +36,10 @@ def test_same_as_sql(spark, duck, name):
 
 def test_site_by_species_has_all_species(spark, duck):
     want = duck.sql("SELECT count(DISTINCT (l_suppkey, l_partkey)), sum(l_quantity) FROM lineitem").fetchall()[0]
-    presence = registry.QUERIES["site_by_all_species"](spark, SMALL).toPandas().species
-    assert sum(map(len, presence)) == want[0] and max(map(max, presence)) > 20
-    total = registry.QUERIES["site_by_all_species_abundance"](spark, SMALL).toPandas().species
-    assert abs(sum(sum(m.values()) for m in total) - float(want[1])) < 1e-6
+    presence = registry.QUERIES["site_by_all_species"](spark, SMALL).toPandas()
+    assert len(presence) == want[0] and presence.species.max() > 20
+    total = registry.QUERIES["site_by_all_species_abundance"](spark, SMALL).toPandas()
+    assert len(total) == want[0] and abs(total.n.sum() - float(want[1])) < 1e-6
 
 
 def test_entry(spark):
