@@ -124,14 +124,30 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float, strict: bool =
     return joined.where(F.col("dist") < radius if strict else F.col("dist") <= radius)
 
 
+def neighbour_values(cells: DataFrame, radius: float, key: str, value: str) -> DataFrame:
+    """(key, v): for each cell its own value and that of each cell within the radius; keys are distinct.
+
+    Each pair of cells is joined once: a cell meets those of its own tile and of four of the eight around it.
+    """
+    size = radius or 1.0
+    tile = lambda c: F.floor(F.col(c) / size).cast("long")
+    ahead = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (1, 0), (-1, 1), (0, 1), (1, 1))])).alias("__o")
+    rows = cells.select(F.col(key).alias("__k"), "x", "y", F.col(value).alias("__v"))
+    a = rows.select("*", ahead).select("*", (tile("x") + F.col("__o.x")).alias("__tx"), (tile("y") + F.col("__o.y")).alias("__ty"), ((F.col("__o.x") == 0) & (F.col("__o.y") == 0)).alias("__own"))
+    b = rows.select(tile("x").alias("__tx"), tile("y").alias("__ty"), F.col("__k").alias("__k2"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("__v").alias("__v2"))
+    near = a.join(b, ["__tx", "__ty"]).where((~F.col("__own") | (F.col("__k") < F.col("__k2"))) & (distance(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")) <= radius))
+    both = near.select(F.inline(F.array(F.struct(F.col("__k").alias(key), F.col("__v2").alias("v")), F.struct(F.col("__k2").alias(key), F.col("__v").alias("v")))))
+    return both.union(rows.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("__k").alias(key), F.col("__v").alias("v")))
+
+
 def neighbour_sum(cells: DataFrame, radius: float, key: str = "cell", value: str = "n_records") -> DataFrame:
     """Sum of a value over all cells within the radius, the cell itself included."""
-    return near_pairs(cells.select(key, "x", "y"), cells.select("x", "y", value), radius).groupBy(key).agg(F.sum(f"{value}2").alias("neighbour_sum"))
+    return neighbour_values(cells, radius, key, value).groupBy(key).agg(F.sum("v").alias("neighbour_sum"))
 
 
 def relative_richness(cells: DataFrame, radius: float, share: float, key: str = "cell") -> DataFrame:
     """Cells with at least that share of the largest richness within the radius; all compared at once."""
-    top = near_pairs(cells.select(key, "x", "y"), cells.select("x", "y", "richness"), radius).groupBy(key).agg(F.max("richness2").alias("max_richness"))
+    top = neighbour_values(cells, radius, key, "richness").groupBy(key).agg(F.max("v").alias("max_richness"))
     return cells.join(top, key).where(F.col("richness") >= share * F.col("max_richness"))
 
 

@@ -58,6 +58,18 @@ def test_filters_treat_nulls_as_where_does(spark):
         prepare.filter_occurrences(df, ["absent"])
 
 
+@pytest.mark.parametrize("radius", [0.0, 1.0, 2.25, 7.5])
+def test_neighbours_meet_once_and_count_twice(spark, radius):
+    rng = np.random.default_rng(12)
+    rows = [(i, float(x), float(y), int(v)) for i, (x, y, v) in enumerate(zip(rng.integers(-9, 9, 120) / 2, rng.integers(-9, 9, 120) / 2, rng.integers(1, 9, 120), strict=True))]
+    frame = spark.createDataFrame([*rows, (500, None, 1.0, 4)], "cell long, x double, y double, n_records long")
+    want = {i: sum(w for _, a, b, w in rows if np.hypot(a - x, b - y) <= radius) for i, x, y, _ in rows}
+    assert {r.cell: r.neighbour_sum for r in prepare.neighbour_sum(frame, radius).collect()} == want
+    rich = frame.withColumnRenamed("n_records", "richness")
+    top = {i: max(w for _, a, b, w in rows if np.hypot(a - x, b - y) <= radius) for i, x, y, _ in rows}
+    assert {r.cell for r in prepare.relative_richness(rich, radius, 0.8).collect()} == {i for i, _, _, v in rows if v >= 0.8 * top[i]}
+
+
 def test_outliers_and_outersect(spark):
     df = spark.createDataFrame([(float(v),) for v in [*range(1, 10), 100]], "v double")
     assert sorted(r.v for r in prepare.null_outliers(df, ["v"]).where("v IS NOT NULL").collect()) == list(range(1, 10))
