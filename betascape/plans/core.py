@@ -18,6 +18,7 @@ from betascape.plans.registry import folds_of, query, rounded, transform_sql
 from betascape.sources import grid as grid_io
 from betascape.sources import occurrences as occ_io
 from betascape.sources.checkpoint import shared_folder
+from betascape.streaming import ingest
 
 
 def folder(spark) -> str:
@@ -311,3 +312,31 @@ def knn_probability_change(spark, sf):
     v = vectors(spark, sf)
     later = v.withColumn("v", F.transform("v", lambda x: x + 0.05))
     return rounded(grids.probability_change(v, later, learned(spark, sf), 10, 0.5), "p0", "p1", "difference", digits=5)
+
+
+# --- streams -----------------------------------------------------------------------------------
+
+
+def streamed(spark, sf, work):
+    """Rows that a streaming query over lineitem, as occurrences with a time, has written when its input is used up."""
+    path = f"{sf}/lineitem.parquet"
+    # As a pattern, since a stream's plain path must be a folder.
+    events = ingest.stream(spark, f"{sf}/lineitem.parque[t]", spark.read.parquet(path).schema)
+    events = events.select(F.col("l_shipdate").cast("timestamp").alias("t"), F.col("l_suppkey").alias("site"), F.col("l_partkey").alias("species"))
+    out = folder(spark)
+    sink = work(events).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/rows")
+
+
+@query("SELECT DISTINCT l_suppkey AS site, l_partkey AS species FROM lineitem")
+def streaming_composition(spark, sf):
+    return streamed(spark, sf, lambda e: ingest.running_composition(e, "t"))
+
+
+@query("""SELECT l_suppkey AS site, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS day, count(*) AS n_records FROM lineitem
+  WHERE l_shipdate + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 2 DAY GROUP BY 1, 2""")
+def streaming_closed_days(spark, sf):
+    """Counts by site and day; days that the watermark has not passed are still open and not written."""
+    closed = streamed(spark, sf, lambda e: ingest.windowed_counts(e, "t", ["site"]))
+    return closed.select("site", F.to_date("window.start").cast("string").alias("day"), "n_records")
