@@ -374,17 +374,15 @@ def response_and_weights(sxs: DataFrame, species: Sequence) -> DataFrame:
     return sxs.select("site", total.alias("weight"), F.inline(pairs)).select("site", "species", "response", "weight")
 
 
-def pca_rgb(cells: DataFrame, layers: Sequence[str], sample: int = 200_000, seed: int = 0) -> DataFrame:
+def pca_rgb(cells: DataFrame, layers: Sequence[str]) -> DataFrame:
     """First three principal components of the layers, scaled to 0..255 by their ranges.
 
-    Axes come from the covariance of at most ``sample`` cells, taken by hash; all cells are projected.
+    Axes come from the covariance of all cells, by one aggregation.
     """
     rows = cells.dropna("any", subset=list(layers))
-    n = rows.count()
-    if not n:
+    stats = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in layers], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in layers for b in layers]).first()
+    if not stats["n"]:
         return rows.select("row", "col", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(min(3, len(layers)))])
-    part = rows.where(F.pmod(F.xxhash64("row", "col", F.lit(seed)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n))))
-    stats = part.agg(*[F.avg(c).alias(f"m_{c}") for c in layers], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a in layers for b in layers]).first()
     cov = np.nan_to_num(np.array([[stats[f"c_{a}_{b}"] for b in layers] for a in layers], float))
     values, vectors = np.linalg.eigh(cov)
     top = vectors[:, np.argsort(-values)[:3]]

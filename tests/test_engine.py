@@ -364,3 +364,17 @@ def test_composites(spark):
     rows = pairs.composite_table(comp, sites, 2, "sqrt").collect()
     assert [(r.i, r.j, r.distance, r.weights, r.s2_xCoord) for r in rows] == [(1, 2, 0.5, 2.0, 2.0)]
     assert pairs.reaggregate(comp, F.floor(F.col("site") / 2)).count() == 5
+
+
+def test_colours_come_from_all_cells(spark):
+    """Axes of a grid beyond 200,000 cells are those of all its cells."""
+    n = 250_000
+    cells = spark.range(n).select((F.col("id") / 500).cast("int").alias("row"), (F.col("id") % 500).cast("int").alias("col"), (F.col("id") % 97).cast("double").alias("a"), (F.col("id") * 31 % 89 + F.col("id") % 7).cast("double").alias("b"))
+    x = np.array(cells.select("a", "b").toPandas())
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    top = vectors[:, np.argsort(-values)]
+    top = top * np.where(top[np.abs(top).argmax(0), [0, 1]] < 0, -1, 1)
+    want = (x - x.mean(0)) @ top
+    want = (want - want.min(0)) / (want.max(0) - want.min(0)) * 255
+    got = grids.pca_rgb(cells, ["a", "b"]).orderBy("row", "col").select("pc1", "pc2").toPandas()
+    assert np.abs(np.array(got) - want).max() < 1e-6
