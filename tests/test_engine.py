@@ -378,3 +378,39 @@ def test_colours_come_from_all_cells(spark):
     want = (want - want.min(0)) / (want.max(0) - want.min(0)) * 255
     got = grids.pca_rgb(cells, ["a", "b"]).orderBy("row", "col").select("pc1", "pc2").toPandas()
     assert np.abs(np.array(got) - want).max() < 1e-6
+
+
+def shuffled_pairs(df) -> bool:
+    """Whether the plan has an exchange or a sorted join above the pairs, which come from Python."""
+    above = df._jdf.queryExecution().sparkPlan().toString().split("MapInArrow")[0]
+    return "Exchange" in above or "SortMergeJoin" in above or "ShuffledHashJoin" in above
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_all_pairs_by_blocks(spark, monkeypatch, kind):
+    """Pairs of several blocks with shared counts, none of them shuffled, whatever the keys; null keys meet none."""
+    rng = np.random.default_rng(4)
+    names = [str(k) if kind == "string" else int(k) for k in (*range(95, 130), -3, 7)]
+    comp = {n: {f"s{k}" for k in rng.integers(0, 40, rng.integers(1, 12))} for n in names}
+    rows = [(n, s) for n, found in comp.items() for s in found] + [(None, "s1"), (names[0], None)]
+    frame = spark.createDataFrame(rows, f"site {kind}, species string")
+    monkeypatch.setattr(pairs, "SITES", 8)
+    monkeypatch.setattr(pairs, "PAIRS", 16)
+    got = pairs.all_pair_sorensen(frame)
+    assert not shuffled_pairs(got)
+    r = {n: len(s) + (n == names[0]) for n, s in comp.items()}
+    want = {(a, b, r[a], r[b], len(comp[a] & comp[b])) for a in names for b in names if a < b}
+    found = [tuple(x)[:5] for x in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    sites = spark.createDataFrame([(n, float(k), 0.0) for k, n in enumerate(names[:-1])], f"site {kind}, xCoord double, yCoord double")
+    table = pairs.composite_table(frame, sites)
+    assert not shuffled_pairs(table)
+    x = {n: float(k) for k, n in enumerate(names[:-1])}
+    assert {(t.i, t.j, t.s1_xCoord, t.s2_xCoord) for t in table.collect()} == {(a, b, x.get(a), x.get(b)) for a, b, *_ in want}
+
+
+def test_pair_queries_shuffle_no_pairs(spark):
+    from betascape.plans.registry import QUERIES
+
+    for name in ("pair_sorensen", "pair_sorensen_arrays", "composite_pair_table", "pair_env_attach", "pair_weights_sum_sqrt", "design_matrix", "predict_geo_model", "pair_grid_extract"):
+        assert not shuffled_pairs(QUERIES[name](spark, "/root/testdata/sf0.001")), name
