@@ -41,9 +41,10 @@ def equalised_rmse(df: DataFrame, **options) -> DataFrame:
     return rmse_by_bin(df, **options).agg(F.avg("rmse").alias("ermse"))
 
 
-def histogram(df: DataFrame, x: str, width: float = 0.025, bins: int = 40) -> DataFrame:
-    """(bin, n) for all bins, empty ones with 0."""
-    counts = df.select(bin_of(F.col(x), width, bins).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+def histogram(df: DataFrame, x: str, width: float = 0.025, bins: int = 40, times: str | None = None) -> DataFrame:
+    """(bin, n) for all bins, empty ones with 0.  A row counts as often as its column ``times`` says, if that is named."""
+    n = F.col(times) if times else F.lit(1)
+    counts = df.select(bin_of(F.col(x), width, bins).alias("bin"), n.alias("n")).groupBy("bin").agg(F.sum("n").alias("n"))
     all_ = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     return all_.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -216,7 +216,7 @@ def spark_step(rows: DataFrame, p: int) -> Callable[[np.ndarray | None], tuple[n
 
 
 def null_deviance(rows: DataFrame) -> float:
-    """Deviance of the intercept alone, from rows with y and w.
+    """Deviance of the intercept alone, from rows with y and w; a row that stands for n of weight 1 has weight n.
 
     Its mean is the weighted mean of y, so one aggregation finds it and one more the deviance.
     """

@@ -422,7 +422,7 @@ def outlier_null(spark, sf):
 @query(f"""WITH {PAIRS}, c AS (SELECT {bin_sql('distance', 0.025, 40)} AS bin, count(*) AS n FROM pairs GROUP BY 1)
   SELECT CAST(g.b AS INTEGER) AS bin, coalesce(n, 0) AS n FROM range(1, 41) g(b) LEFT JOIN c ON c.bin = g.b""")
 def histogram_counts(spark, sf):
-    return assess.histogram(pairs.all_pair_sorensen(composition(spark, sf)), "distance")
+    return assess.histogram(pairs.sorensen_counts(composition(spark, sf)), "distance", times="n")
 
 
 GINI = "SELECT {out} FROM (SELECT n, row_number() OVER (ORDER BY n) AS k, count(*) OVER () AS c FROM {source})"
@@ -432,7 +432,7 @@ EVEN = "round(1 - (2.0 * sum(k * n)::DOUBLE / (max(c) * sum(n)) - (max(c) + 1.0)
 @query(f"""WITH {PAIRS}, c AS (SELECT {bin_sql('distance', 0.025, 40)} AS bin, count(*) AS n FROM pairs GROUP BY 1),
   h AS (SELECT coalesce(n, 0) AS n FROM range(1, 41) g(b) LEFT JOIN c ON c.bin = g.b) {GINI.format(out=EVEN, source='h')}""")
 def histogram_evenness(spark, sf):
-    return rounded(assess.evenness(assess.histogram(pairs.all_pair_sorensen(composition(spark, sf)), "distance")), "evenness")
+    return rounded(assess.evenness(assess.histogram(pairs.sorensen_counts(composition(spark, sf)), "distance", times="n")), "evenness")
 
 
 @query(f"WITH {COMP}, n AS (SELECT r AS n FROM rich) {GINI.format(out=EVEN, source='n')}")

@@ -414,3 +414,19 @@ def test_pair_queries_shuffle_no_pairs(spark):
 
     for name in ("pair_sorensen", "pair_sorensen_arrays", "composite_pair_table", "pair_env_attach", "pair_weights_sum_sqrt", "design_matrix", "predict_geo_model", "pair_grid_extract"):
         assert not shuffled_pairs(QUERIES[name](spark, "/root/testdata/sf0.001")), name
+
+
+def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
+    """Counts of distances say what the pairs say, and no pair leaves the task."""
+    monkeypatch.setattr(pairs, "SITES", 8)
+    rng = np.random.default_rng(5)
+    frame = spark.createDataFrame([(int(a), int(b)) for a, b in {tuple(x) for x in rng.integers(0, 40, (500, 2)).tolist()}], "site long, species long")
+    counts = pairs.sorensen_counts(frame)
+    every = pairs.all_pair_sorensen(frame)
+    want = every.groupBy("distance").count().collect()
+    assert {(r[0], r[1]) for r in counts.groupBy("distance").agg(F.sum("n")).collect()} == {(r[0], r[1]) for r in want}
+    assert counts.count() < every.count() / 4
+    a, b = assess.histogram(counts, "distance", times="n"), assess.histogram(every, "distance")
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    y = F.col("distance").alias("y")
+    assert model.null_deviance(counts.select(y, F.col("n").cast("double").alias("w"))) == pytest.approx(model.null_deviance(every.select(y, F.lit(1.0).alias("w"))))
