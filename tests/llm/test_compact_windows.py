@@ -217,3 +217,29 @@ def test_rows_over_many_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert got[0] == got[1] and len(got[0]) == 49
     assert all(set(range(20, 96)) <= got[0][d] for d in range(1, 30)) and all(got[0][d] == set(range(76)) for d in range(30, 50))
+
+
+def test_large_groups_lose_no_link(spark, monkeypatch):
+    """Each of many edited copies names every earlier class that it is near, though one alone would cover its passage."""
+    monkeypatch.setattr(cw, "MEETINGS", 500, raising=False)
+    rng = np.random.default_rng(30)
+    base = words(rng, 70)
+    rows = []
+    for d in range(75):
+        w = base[:]
+        w[20 + d % 30] = f"e{d}"  # edits of one place are a class, those of neighbouring places are near
+        rows.append((d, " ".join([*words(rng, 20), *w, *words(rng, 20)])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: set(r.match_ids) for r in cw.near_duplicate_passages(frame, n_hashes=16).collect()}
+    for d in range(30, 75):
+        assert got[d] >= {p for p in (d % 30 - 2, d % 30 - 1, d % 30) if p >= 0}
+
+
+def test_sharing_against_all_pairs(monkeypatch):
+    rng = np.random.default_rng(31)
+    z = np.stack([np.where(rng.random(91) < 0.6, rng.permutation(np.arange(1, 400))[:91], 0) for _ in range(70)])
+    z[40:] = np.where(rng.random((30, 91)) < 0.8, z[7], z[40:] + 1000 * (z[40:] > 0))
+    want = {(j, i, n) for j in range(70) for i in range(j) if (n := len({*z[j]} & {*z[i]} - {0})) >= 20}
+    for meetings in (1, 900, 1 << 22):
+        monkeypatch.setattr(cw, "MEETINGS", meetings)
+        assert {x for part in cw.sharing(z, 20) for x in zip(*(y.tolist() for y in part), strict=True)} == want and want
