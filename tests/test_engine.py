@@ -430,3 +430,16 @@ def test_pairs_are_counted_where_they_meet(spark, monkeypatch):
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
     y = F.col("distance").alias("y")
     assert model.null_deviance(counts.select(y, F.col("n").cast("double").alias("w"))) == pytest.approx(model.null_deviance(every.select(y, F.lit(1.0).alias("w"))))
+
+
+def test_fits_hold_rows_in_memory_only(spark, monkeypatch):
+    """Rows that do not fit into memory are worked out again; all pairs of many sites would fill the disks."""
+    rng = np.random.default_rng(6)
+    rows = [(k, *(float(v) for v in rng.random(3)), 1.0) for k in range(60)]
+    frame = spark.createDataFrame(rows, "k int, distance double, s1_a double, s2_a double, weights double")
+    held, kept = [], type(frame).persist
+    monkeypatch.setattr(type(frame), "persist", lambda self, *level: held.append((level, {f.name for f in self.schema})) or kept(self, *level))
+    model.fit(frame, ["a"])
+    select.cross_validate(frame.where("k % 3 > 0"), frame.where("k % 3 = 0"), ["a"])
+    levels = [level for level, names in held if names & {"x", "predicted"}]
+    assert levels and all(level and not level[0].useDisk for level in levels)
