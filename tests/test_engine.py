@@ -443,3 +443,11 @@ def test_fits_hold_rows_in_memory_only(spark, monkeypatch):
     select.cross_validate(frame.where("k % 3 > 0"), frame.where("k % 3 = 0"), ["a"])
     levels = [level for level, names in held if names & {"x", "predicted"}]
     assert levels and all(level and not level[0].useDisk for level in levels)
+
+
+def test_counts_of_windows_hold_no_sketches(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2, 0)], "site long, species long, s long").select("site", "species", F.timestamp_seconds("s").alias("t"))
+    rows.write.parquet(str(tmp_path / "rows"))
+    events = ingest.stream(spark, str(tmp_path / "rows"), rows.schema)
+    assert ingest.windowed_counts(events, "t", ["site"]).columns == ["window", "site", "n_records", "richness"]
+    assert ingest.windowed_counts(events, "t", ["site"], richness=False).columns == ["window", "site", "n_records"]
