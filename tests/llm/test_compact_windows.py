@@ -243,3 +243,12 @@ def test_sharing_against_all_pairs(monkeypatch):
     for meetings in (1, 900, 1 << 22):
         monkeypatch.setattr(cw, "MEETINGS", meetings)
         assert {x for part in cw.sharing(z, 20) for x in zip(*(y.tolist() for y in part), strict=True)} == want and want
+
+
+def test_united_marks_hold_the_same_tokens(spark):
+    rng = np.random.default_rng(32)
+    base = words(rng, 70)
+    rows = [(d, " ".join([*words(rng, 9), *base[: 20 + d % 30], f"e{d}", *base[21 + d % 30 :], *words(rng, 9)])) for d in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every, few = cw.passages(docs), cw.passages(docs, links=False)
+    assert marks(every) == marks(few) and few.count() < every.count()
