@@ -252,3 +252,59 @@ def test_united_marks_hold_the_same_tokens(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     every, few = cw.passages(docs), cw.passages(docs, links=False)
     assert marks(every) == marks(few) and few.count() < every.count()
+
+
+def test_classes_are_the_components_of_all_links(spark, monkeypatch):
+    """Few marks hold the same tokens and connect the same documents as all links do."""
+    rng = np.random.default_rng(33)
+    rows, plain = [], words(rng, 40)
+    for g in range(4):
+        base = words(rng, 75)
+        for d in range(40):
+            w = base[:]
+            for at in rng.integers(0, 75, rng.integers(0, 4)):
+                w[at] = f"e{rng.integers(1 << 40)}"
+            w = w[rng.integers(0, 12) : 75 - rng.integers(0, 12)]
+            rows.append((int(rng.integers(0, 150)), " ".join([*words(rng, 9), *w, *words(rng, 9), *(w if d % 9 == 0 else plain)])))
+    rows += [(900, "short text"), (901, None), (None, rows[3][1]), (7, rows[60][1]), (7, " ".join(words(rng, 80)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = cw.near_duplicate_passages(docs).collect()
+    found = cw.passages(docs).collect()
+    root = {}
+
+    def least(x):
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in found:
+        a, b = sorted((least((r.doc, r.tag)), least((r.match, r.mtag))))
+        root[b] = a
+    key = [(r.doc, r.tag) for r in docs.select(*[c.alias(n) for c, n in zip(cw.keyed(docs, "doc_id", "text"), ("doc", "tag"), strict=True)]).collect()]
+    want = Counter((d, least(k)[0]) for (d, _), k in zip(rows, key, strict=True))
+    for marks_, meetings in ((1 << 18, 1 << 19), (50, 300)):
+        monkeypatch.setattr(cw, "MARKS", marks_)
+        monkeypatch.setattr(cw, "MEETINGS", meetings)
+        got = cw.near_duplicate_classes(docs).collect()
+        assert Counter((r.doc_id, r.class_id) for r in got) == want
+        assert Counter((r.doc_id, r.n_dup_words, r.spans) for r in got) == Counter((r.doc_id, r.n_dup_words, r.spans) for r in every)
+    assert len({c for _, c in want}) < len(rows) / 4
+
+
+def test_rows_of_links_follow_the_documents(spark):
+    """Copies with edits of their own are classes of their own: twice as many make about twice the marks, not four times."""
+    rng = np.random.default_rng(34)
+    base, n = words(rng, 70), []
+    for size in (60, 120):
+        rows = [(d, " ".join([*words(rng, 9), *[f"e{d // 2}" if i == 10 + d // 2 % 50 else w for i, w in enumerate(base)], *words(rng, 9)])) for d in range(size)]
+        n.append(cw.passages(spark.createDataFrame(rows, "doc_id long, text string"), n_hashes=1, links=False).count())
+    assert n[1] < 3 * n[0]
+
+
+def test_forest_of_marks():
+    x = [np.array(c) for c in ([9, 9, 7, 3, 8], [0] * 5, [0, 50, 3, 5, 5], [10, 60, 9, 9, 9], [2, 5, 2, 3, 6], [0] * 5)]
+    got = {tuple(r) for r in np.stack(cw.forest(x), 1).tolist()}
+    # 5 is connected with 9 alone and has no passage of its own, so one of its marks stays beside those of the first, 2.
+    assert got == {(9, 0, 0, 10, 2, 0), (9, 0, 50, 60, 2, 0), (9, 0, 50, 60, 5, 0), (7, 0, 3, 9, 2, 0), (3, 0, 5, 9, 3, 0), (8, 0, 5, 9, 6, 0)}
+    again = {tuple(r) for r in np.stack(cw.forest([np.array(c) for c in zip(*sorted(got), strict=True)]), 1).tolist()}
+    assert again == got
