@@ -115,6 +115,23 @@ def test_selection_keeps_what_matters(spark):
     assert cv.test_d2 > 99 and cv.rmse < 0.01
 
 
+def test_elimination_of_few_predictors_takes_one_set_of_passes(spark, monkeypatch):
+    _, p, _ = planted(spark, 20)
+    folds = p.withColumn("fold", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("is_test", F.pmod(F.xxhash64("i", "j"), F.lit(2)) == F.col("fold"))
+    m = model.Model(["a", "b", "c"], [[0.0, 0.5, 1.0]] * 3, [])
+    calls, score = [], select.score_candidates
+    monkeypatch.setattr(select, "score_candidates", lambda f, m, c: calls.append(c) or score(f, m, c))
+    for options in ({}, {"least": 2, "locked": ["c"]}):
+        calls.clear()
+        together = select.backward_elimination(folds, m, **options)
+        assert len(calls) == 1
+        with monkeypatch.context() as patch:
+            patch.setattr(select, "SUBSETS", 0)
+            by_level = select.backward_elimination(folds, m, **options)
+        assert together[["n", "predictors", "dropped"]].equals(by_level[["n", "predictors", "dropped"]])
+        assert np.allclose(together[["train_d2", "test_d2", "rmse", "ermse"]], by_level[["train_d2", "test_d2", "rmse", "ermse"]], rtol=1e-9)
+
+
 def test_general_irls():
     rng = np.random.default_rng(0)
     x = np.column_stack([np.ones(200), rng.uniform(0, 1, (200, 2))])
