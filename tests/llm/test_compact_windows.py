@@ -301,6 +301,36 @@ def test_rows_of_links_follow_the_documents(spark):
     assert n[1] < 3 * n[0]
 
 
+def test_crowded_hashes_mark_alike_in_few_rows(spark):
+    """Through parts and buckets the same tokens are marked and the same documents connected as in one task, also where a document
+    repeats its own passage, and rows follow the windows, not windows times classes."""
+    rng = np.random.default_rng(35)
+    base, rows = words(rng, 70), []
+    for d in range(72):
+        w = [f"e{d // 3}" if i == 12 + d // 3 % 46 else x for i, x in enumerate(base)]
+        again = [*words(rng, 9), *w] if d % 8 == 0 else []
+        rows.append((d, " ".join([*words(rng, 9), *w, *again, *words(rng, 9)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def connected(found):
+        root = {}
+
+        def least(x):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for r in found:
+            a, b = sorted((least(r.doc), least(r.match)))
+            root[b] = a
+        return {x: least(x) for x in range(72)}
+
+    one = cw.passages(docs, n_hashes=1)
+    found = cw.passages(docs, n_hashes=1, links=False, chunk=8).cache()
+    assert marks(found) == marks(one) and connected(found.collect()) == connected(one.collect())
+    assert found.count() < one.count() / 2
+
+
 def test_forest_of_marks():
     x = [np.array(c) for c in ([9, 9, 7, 3, 8], [0] * 5, [0, 50, 3, 5, 5], [10, 60, 9, 9, 9], [2, 5, 2, 3, 6], [0] * 5)]
     got = {tuple(r) for r in np.stack(cw.forest(x), 1).tolist()}
