@@ -364,7 +364,7 @@ def predict_fixed_model(spark, sf):
 
 @query(f"WITH {PAIRS} SELECT i, j, round(1 - exp(-({eta_sql(GEO_MODEL)})), 6) AS predicted FROM pairs")
 def predict_geo_model(spark, sf):
-    return rounded(model.predict(pair_inputs(spark, sf), GEO_MODEL).select("i", "j", "predicted"), "predicted")
+    return tiles.predict_rows(all_pairs(spark, sf, alike=0, geo=True), GEO_MODEL)
 
 
 @query(f"WITH p AS (SELECT -1000.0 + i * (11000.0 / 199)::DOUBLE AS x FROM range(200) r(i)) SELECT round(x, 6) AS x, round({spline_sql('x', MODEL.knots[0], MODEL.coefficients[0])}, 6) AS response FROM p")
