@@ -377,6 +377,9 @@ DEVIANCE = """2 * sum((CASE WHEN mu = 0 THEN distance WHEN distance = 0 THEN 0 E
   + (CASE WHEN mu = 1 THEN 1 - distance WHEN distance = 1 THEN 1 - distance ELSE (1 - distance) * ln((1 - distance) / (1 - mu)) END))"""
 
 
+METRICS = ("deviance", "me", "mae", "rmse", "corr")
+
+
 def predicted(spark, sf):
     return model.predict(pair_inputs(spark, sf), MODEL)
 
@@ -389,7 +392,9 @@ def gdm_deviance(spark, sf):
 @query(f"""WITH {PREDICTED} SELECT round({DEVIANCE}, 4) AS deviance, round(avg(mu - distance), 6) AS me, round(avg(abs(mu - distance)), 6) AS mae,
   round(sqrt(avg((mu - distance) * (mu - distance))), 6) AS rmse, round(corr(distance, mu), 6) AS corr FROM pr""")
 def cv_error_metrics(spark, sf):
-    return rounded(rounded(assess.error_metrics(predicted(spark, sf)), "me", "mae", "rmse", "corr"), "deviance", digits=4)
+    e = tiles.errors(all_pairs(spark, sf), MODEL)
+    row = spark.createDataFrame([tuple(e[c] for c in METRICS)], ", ".join(f"{c} double" for c in METRICS))
+    return rounded(rounded(row, "me", "mae", "rmse", "corr"), "deviance", digits=4)
 
 
 def bin_sql(x: str, width: float, n: int) -> str:
