@@ -476,7 +476,7 @@ def env_space_evenness(spark, sf):
 
 @query()
 def fit_gdm(spark, sf):
-    m = model.fit(pair_inputs(spark, sf), MODEL.predictors, geo=True)
+    m = tiles.fit(all_pairs(spark, sf, geo=True), MODEL.predictors, geo=True)
     rows = [(k, round(float(c), 6)) for k, c in enumerate(m.flat())]
     return spark.createDataFrame(rows, "term int, coefficient double").withColumn("explained", F.lit(round(m.explained, 6)))
 
