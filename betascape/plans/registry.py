@@ -386,7 +386,8 @@ def predicted(spark, sf):
 
 @query(f"WITH {PREDICTED} SELECT round({DEVIANCE}, 4) AS deviance FROM pr")
 def gdm_deviance(spark, sf):
-    return predicted(spark, sf).agg(F.round(fn.deviance(F.col("distance"), F.col("predicted")), 4).alias("deviance"))
+    e = tiles.errors(all_pairs(spark, sf), MODEL)
+    return rounded(spark.createDataFrame([(e["deviance"],)], "deviance double"), "deviance", digits=4)
 
 
 @query(f"""WITH {PREDICTED} SELECT round({DEVIANCE}, 4) AS deviance, round(avg(mu - distance), 6) AS me, round(avg(abs(mu - distance)), 6) AS mae,
