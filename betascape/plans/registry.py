@@ -404,7 +404,7 @@ def bin_sql(x: str, width: float, n: int) -> str:
 
 @query(f"WITH {PREDICTED} SELECT CAST({bin_sql('distance', 0.05, 20)} AS INTEGER) AS bin, count(*) AS n, round(sqrt(avg((mu - distance) * (mu - distance))), 6) AS rmse FROM pr GROUP BY 1")
 def rmse_by_bin(spark, sf):
-    return rounded(assess.rmse_by_bin(predicted(spark, sf)), "rmse")
+    return rounded(spark.createDataFrame(tiles.errors(all_pairs(spark, sf), MODEL)["bins"], "bin int, n long, rmse double"), "rmse")
 
 
 @query(f"WITH {PREDICTED}, b AS (SELECT {bin_sql('distance', 0.05, 20)} AS bin, sqrt(avg((mu - distance) * (mu - distance))) AS rmse FROM pr GROUP BY 1) SELECT round(avg(rmse), 6) AS ermse FROM b")
