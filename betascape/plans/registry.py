@@ -379,10 +379,6 @@ DEVIANCE = """2 * sum((CASE WHEN mu = 0 THEN distance WHEN distance = 0 THEN 0 E
 METRICS = ("deviance", "me", "mae", "rmse", "corr")
 
 
-def predicted(spark, sf):
-    return model.predict(pair_inputs(spark, sf), MODEL)
-
-
 @query(f"WITH {PREDICTED} SELECT round({DEVIANCE}, 4) AS deviance FROM pr")
 def gdm_deviance(spark, sf):
     e = tiles.errors(all_pairs(spark, sf), MODEL)
